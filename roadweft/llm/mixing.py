@@ -55,9 +55,9 @@ def _per_source(spark, values: dict, schema: str) -> DataFrame:
     return spark.createDataFrame([(s, *v) for s, v in values.items()], schema).coalesce(1)
 
 
-def mix(
+def choose(
     docs: DataFrame,
-    weight: Column | None = None,
+    quality: DataFrame | None = None,
     source: str = "source",
     text: str = "text",
     doc_id: str = "doc_id",
@@ -68,30 +68,36 @@ def mix(
     buckets: int = BUCKETS,
     sort_rows: int = SORT_ROWS,
 ) -> DataFrame:
-    """Columns of ``docs`` with size, source_size, target, copies and taken = copies x size.
-
-    ``weight`` is the document's quality weight (> 0; null or less counts as 1). A source that is
-    due t words of its s gets floor(t / s) whole epochs and the documents of smallest key whose
-    prefix sum ends nearest to the rest. Defined cases: null or blank text has size 0 and is never
-    a fraction's document; null sources form one source that stands last; keys depend on id and text
-    alone, so reruns agree and repeated rows are taken or left together; an empty table gives an empty result. The driver holds one
-    row per source, whose number doesn't grow with the documents. Clashing columns named like the
-    new ones are replaced.
+    """What the mix takes of each row: doc_id, source, size, source_size, target, copies, taken
+    (= copies x size) and digest.
+
+    ``quality`` has columns doc_id and weight, the document's quality weight; where it is missing,
+    null or not above 0 it counts as 1; of several rows the largest holds. A source that is due t
+    words of its s gets floor(t / s) whole epochs and the documents of smallest key whose prefix
+    sum ends nearest to the rest. Texts are read once and never shuffled.
+
+    Defined cases: null or blank text has size 0 and is never a fraction's document; null sources
+    form one source that stands last; keys depend on id and text alone, so reruns agree and
+    repeated rows are taken or left together; an empty table gives an empty result. The driver
+    holds one row per source, whose number doesn't grow with the documents.
     """
     spark = docs.sparkSession
-    made = ("size", "source_size", "target", "copies", "taken")
-    others = [c for c in docs.columns if c not in made]
-    w = F.coalesce(F.when(weight > 0, weight), F.lit(1.0)) if weight is not None else F.lit(1.0)
-    digest = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    # 53 bits, never 0: u in (0, 1]; the key's distribution function makes buckets even
-    u = (F.shiftrightunsigned(digest, 11).cast("double") + 1.0) / F.lit(float(1 << 53))
-    keyed = docs.select(
-        *[F.col(f"`{c}`") for c in others],
+    slim = docs.select(
+        F.col(source).alias("_s"),
+        F.col(doc_id).alias("_id"),
         words(F.col(text)).alias("size"),
-        (1.0 - F.exp(F.log(u) / w)).alias("_k"),
-        digest.alias("_d"),
+        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_d"),
     )
-    slim = materialize(keyed.select(F.col(source).alias("_s"), F.col(doc_id).alias("_id"), "size", "_k", "_d"), "mix-keys")
+    w = F.lit(1.0)
+    if quality is not None:
+        slim = materialize(slim, "mix-sizes")
+        best = quality.filter("doc_id IS NOT NULL AND weight > 0").groupBy(F.col("doc_id").alias("_of")).agg(F.max("weight").alias("_w"))
+        slim = slim.join(best, F.col("_id") == F.col("_of"), "left")
+        w = F.coalesce(F.col("_w"), F.lit(1.0))
+    # 53 bits, never 0: u in (0, 1]; the key's distribution function 1 - u^(1/w) keeps its order
+    # and makes buckets even
+    u = (F.shiftrightunsigned("_d", 11).cast("double") + 1.0) / F.lit(float(1 << 53))
+    slim = materialize(slim.select("_s", "_id", "size", (1.0 - F.exp(F.log(u) / w)).alias("_k"), "_d"), "mix-keys")
     sizes = {r["_s"]: (r["n"] or 0, r["rows"]) for r in slim.groupBy("_s").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
     due = targets({s: n for s, (n, _) in sizes.items()}, weights, share, max_epochs)
     plan = {}
@@ -123,14 +129,27 @@ def mix(
     ends = {r["_s"]: r["k"] for r in last.groupBy("_s").agg(F.max("_k").alias("k")).collect()}
     final = {s: (float(p["epochs"]), ends.get(s, math.nextafter(p["lo"], -1.0)), sizes[s][0], float(due[s])) for s, p in plan.items()}
     marks = _per_source(spark, final, "_of string, _e double, _last double, source_size bigint, target double")
-    joined = keyed.join(F.broadcast(marks), F.col(source).eqNullSafe(F.col("_of")), "left")
+    joined = slim.join(F.broadcast(marks), F.col("_s").eqNullSafe(F.col("_of")), "left")
     extra = F.when((F.col("size") > 0) & (F.col("_k") <= F.col("_last")), 1).otherwise(0)
     copies = F.least(F.col("_e").cast("bigint") + extra, F.lit(int(max_epochs))).cast("bigint")
     return joined.select(
-        *[F.col(f"`{c}`") for c in others],
+        F.col("_id").alias("doc_id"),
+        F.col("_s").alias("source"),
         "size",
         "source_size",
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).cast("bigint").alias("taken"),
+        F.col("_d").alias("digest"),
     )
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", seed: int = 17, **options) -> DataFrame:
+    """The mixed corpus: every row of ``docs`` as often as ``choose`` takes it (0, 1 or more times),
+    with its own columns. Rows of size 0 follow their source's whole epochs."""
+    taken = choose(docs, quality, text=text, doc_id=doc_id, seed=seed, **options)
+    taken = taken.filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).agg(F.max("copies").alias("_copies"))
+    keyed = docs.withColumn("_digest", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d"))
+    joined = keyed.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,17 +22,13 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with _weight: 2 where labelled good, 0.5 where labelled bad, else 1."""
-    marks = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_q"))
-    weight = F.when(F.col("_q") >= 1, 2.0).when(F.col("_q") < 1, 0.5).otherwise(1.0)
-    return docs.join(marks, docs["doc_id"] == F.col("_labelled"), "left").withColumn("_weight", weight).drop("_labelled", "_q")
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """Quality weights of labelled documents: 2 where labelled good, 0.5 where bad."""
+    return labels.filter("quality IS NOT NULL").select("doc_id", F.when(F.col("quality") >= 1, 2.0).otherwise(0.5).alias("weight"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, F.col("_weight"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.choose(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels"))).drop("digest")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
