@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweft.llm import fingerprints, line_dedup, mixing, url_rules
-from roadweft.session import table
+from roadweft.llm import fingerprints, language_id, line_dedup, mixing, packing, token_counts, url_rules, warc
+from roadweft.session import scratch, table
 
 #: The rules of the URL filter's contract (fixed values).
 URL_RULES = (
@@ -18,10 +18,34 @@ URL_RULES = (
 )
 
 
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file is."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), scratch(spark, "token-counts"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     """Quality weights of labelled documents: 2 where labelled good, 0.5 where bad."""
     return labels.filter("quality IS NOT NULL").select("doc_id", F.when(F.col("quality") >= 1, 2.0).otherwise(0.5).alias("weight"))
@@ -41,7 +65,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_archives": op1_warc_archives,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_token_counts": op3_token_counts,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
