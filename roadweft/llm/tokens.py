@@ -14,18 +14,19 @@ cache of a Python worker is bounded and starts anew when it is full.
 
 from __future__ import annotations
 
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
 LONG_CHUNK = 64
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 8_000_000
 #: Not regular for "bytes": blanks at an end, runs of blanks, and any other white space.
 _IRREGULAR = "^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _FIRST = "\r"
+_POINTS = ".,;:!?"
 
 _ENCODERS: dict[tuple[str, str], "Encoder"] = {}
 
@@ -43,7 +44,9 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = kind
-        self.known: dict[str, np.ndarray] = {}
+        #: little-endian ids by chunk
+        self.known: dict[str, bytes] = {}
+        self.letters: dict[int, str] | None = None
 
     @classmethod
     def of(cls, path: str, kind: str) -> "Encoder":
@@ -52,8 +55,8 @@ class Encoder:
             _ENCODERS[path, kind] = cls(path, kind)
         return _ENCODERS[path, kind]
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _real(self, chunk: str) -> str:
         """What a chunk stands for in the text."""
@@ -61,25 +64,46 @@ class Encoder:
             return chunk
         return chunk[1:] if chunk[:1] == _FIRST else " " + chunk
 
-    def _lookup(self, chunks: list[str]) -> list[list[int]]:
-        known = self.known
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-        missing = [c for c in chunks if c not in known]
-        new: dict[str, list[int]] = {}
-        if self.kind == "words":
-            # An ASCII word is one pre-token as it is, lower-cased
-            model, rest = self.tokenizer.model.tokenize, []
-            for c in missing:
-                if c.isascii() and c.isalpha():
-                    new[c] = [t.id for t in model(c.lower())]
-                else:
-                    rest.append(c)
-            missing = rest
-        new.update(zip(missing, self._library([self._real(c) for c in missing])))
-        found = [new[c] if c in new else known[c] for c in chunks]
-        known.update((c, ids) for c, ids in new.items() if len(c) <= LONG_CHUNK)
-        return found
+    def _plain_words(self, missing: list[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of Latin-1 words with or without closing points, straight from the model, and the rest.
+
+        Such a word is normal (NFC) as it is, and one pre-token; so are the points."""
+        if self.letters is None:
+            mapped = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.letters = {c: mapped(chr(c))[0][0] for c in range(128, 256) if chr(c).isalpha()}
+        new: dict[str, bytes] = {}
+        rest = []
+        known, model, letters = self.known, self.tokenizer.model.tokenize, self.letters
+        for c in missing:
+            core = c.rstrip(_POINTS)
+            if not core.isalpha() or max(core) > "\xff":
+                rest.append(c)
+                continue
+            low = core.lower()
+            ids = known.get(low)
+            if ids is None:
+                ids = known[low] = array("I", [t.id for t in model(low if low.isascii() else low.translate(letters))]).tobytes()
+            if core != c:
+                tail = c[len(core) :]
+                points = known.get(tail)
+                if points is None:
+                    points = known[tail] = self._library([tail])[0]
+                ids += points  # only the word itself is kept in the cache
+            new[c] = ids
+        return new, rest
+
+    def _lookup(self, chunks: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_CHUNKS:
+            self.known.clear()
+        found = list(map(self.known.get, chunks))
+        missing = [c for c, ids in zip(chunks, found) if ids is None]
+        if not missing:
+            return found
+        new, rest = self._plain_words(missing) if self.kind == "words" else ({}, missing)
+        others = dict(zip(rest, self._library([self._real(c) for c in rest])))
+        self.known.update((c, ids) for c, ids in others.items() if len(c) <= LONG_CHUNK)
+        new.update(others)
+        return [new[c] if ids is None else ids for c, ids in zip(chunks, found)]
 
     def _divided(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
@@ -90,19 +114,11 @@ class Encoder:
             marked = pc.binary_join_element_wise(pa.scalar(_FIRST, big), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", big))
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        ids = self._lookup(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
-        at = coded.indices.to_numpy()
-        each = lengths[at]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        out = flat[np.arange(total) - np.repeat(ends - each - starts[at], each)]
-        per_text = np.zeros(len(texts) + 1, dtype=np.int64)
-        edges = np.cumsum(pc.list_value_length(lists).to_numpy())
-        per_text[1:] = np.concatenate([[0], ends])[edges]
-        return out, np.diff(per_text)
+        ids = pa.array(self._lookup(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int64, count=len(ids) + 1, offset=8 * ids.offset) // 4
+        out = np.frombuffer(ids.buffers()[2] or b"", dtype="<u4", count=int(ends[-1] - ends[0]), offset=4 * int(ends[0]))
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        return out, np.diff(ends[edges])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as little-endian uint32, number of ids per text); null: none."""
@@ -116,7 +132,7 @@ class Encoder:
         odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._divided(texts)
-        whole = [np.array(i, dtype="<u4") for i in self._library(texts.filter(pa.array(odd)).to_pylist())]
+        whole = [np.frombuffer(i, dtype="<u4") for i in self._library(texts.filter(pa.array(odd)).to_pylist())]
         counts = np.zeros(len(texts), dtype=np.int64)
         counts[odd] = [len(i) for i in whole]
         flat, each = self._divided(texts.filter(pa.array(~odd))) if not odd.all() else (np.empty(0, "<u4"), np.empty(0, np.int64))
