@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweft.llm import fingerprints, language_id, line_dedup, mixing, packing, token_counts, url_rules, warc
+from roadweft.llm import embedding_dedup, fingerprints, language_id, line_dedup, mixing, packing, token_counts, url_rules, warc
 from roadweft.session import scratch, table
 
 #: The rules of the URL filter's contract (fixed values).
@@ -46,6 +46,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     """Quality weights of labelled documents: 2 where labelled good, 0.5 where bad."""
     return labels.filter("quality IS NOT NULL").select("doc_id", F.when(F.col("quality") >= 1, 2.0).otherwise(0.5).alias("weight"))
@@ -70,6 +74,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
