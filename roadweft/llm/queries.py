@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweft.llm import embedding_dedup, fingerprints, language_id, line_dedup, mixing, packing, token_counts, url_rules, warc
+from roadweft.llm import embedding_dedup, fingerprints, language_id, line_dedup, mixing, order_minhash, packing, token_counts, url_rules, warc
 from roadweft.session import scratch, table
 
 #: The rules of the URL filter's contract (fixed values).
@@ -41,6 +41,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key", "rid")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
@@ -73,6 +77,7 @@ QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_order_minhash": op5_order_minhash,
     "op6_language_id": op6_language_id,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_mix_sources": op8_mix_sources,
