@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweft.llm.arrow import bounded
-from roadweft.llm.components import components
+from roadweft.llm.components import Union, components
 from roadweft.llm.fingerprints import BLANKS
 from roadweft.llm.tokens import slices
 from roadweft.session import materialize
@@ -201,62 +201,113 @@ def _compare(least: int, ratio: float):
     return step
 
 
-def _across(least: int, ratio: float, top: int | None):
-    """Pairs between different groups of one block pair of a bucket (several buckets at a time); of
-    each text the ``top`` likeliest, or all."""
+def _likely(part: pd.DataFrame, least: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, rows, shared minima) of likely similar texts of different groups in a block pair, some
+    at a time. A pair that meets in several buckets counts in the first of them only."""
+    minima = np.frombuffer(b"".join(part.minima), "<u2").reshape(-1, MINIMA)
+    buckets = np.array(part.buckets.tolist(), np.int64)
+    label, n, own = part.label.to_numpy(), part.n.to_numpy(), part.own.to_numpy()
+    here = buckets == part.bucket.iloc[0]
+    left, right = np.flatnonzero(own == part.i.iloc[0]), np.flatnonzero(own == part.j.iloc[0])
+    for a in range(0, len(left), 64):
+        l = left[a : a + 64]
+        may = (label[l][:, None] != label[right][None]) & (np.minimum(n[l][:, None], n[right][None]) >= ratio * np.maximum(n[l][:, None], n[right][None]))
+        x, y = np.nonzero(may)
+        for c in range(0, len(x), 8192):
+            p, q = l[x[c : c + 8192]], right[y[c : c + 8192]]
+            shared = _shared(minima[p], minima[q])
+            good = shared >= least
+            p, q, shared = p[good], q[good], shared[good]
+            first = (buckets[p] == buckets[q]).argmax(1)
+            good = here[p, first]
+            yield p[good], q[good], shared[good]
+
+
+_BLOCK = ["bucket", "i", "j"]
+
+
+def _partners(least: int, ratio: float, top: int):
+    """Of each text of a task's block pairs the ``top`` likeliest of other groups."""
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         us, vs = [], []
-        for _, part in rows.groupby(["bucket", "i", "j"], sort=False):
-            minima = np.frombuffer(b"".join(part.minima), "<u2").reshape(-1, MINIMA)
-            uid, label, n, own = part.uid.to_numpy(), part.label.to_numpy(), part.n.to_numpy(), part.own.to_numpy()
-            i, j = part.i.iloc[0], part.j.iloc[0]
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for a in range(0, len(left), 64):
-                l = left[a : a + 64]
-                may = (label[l][:, None] != label[right][None]) & (np.minimum(n[l][:, None], n[right][None]) >= ratio * np.maximum(n[l][:, None], n[right][None]))
-                x, y = np.nonzero(may)
-                shared = np.concatenate([_shared(minima[l[x[c : c + 8192]]], minima[right[y[c : c + 8192]]]) for c in range(0, len(x), 8192)] or [np.empty(0, int)])
-                good = shared >= least
-                x, y, shared = x[good], y[good], shared[good]
-                if top:
-                    order = np.lexsort((uid[right[y]], -shared, x))
-                    x, y = x[order], y[order]
-                    kept = np.arange(len(x)) - np.searchsorted(x, x) < top
-                    x, y = x[kept], y[kept]
-                us.append(uid[l[x]])
-                vs.append(uid[right[y]])
+        for _, part in rows.groupby(_BLOCK, sort=False):
+            uid = part.uid.to_numpy()
+            for x, y, shared in _likely(part, least, ratio):
+                order = np.lexsort((uid[y], -shared, x))
+                x, y = x[order], y[order]
+                kept = np.arange(len(x)) - np.searchsorted(x, x) < top
+                us.append(uid[x[kept]])
+                vs.append(uid[y[kept]])
         u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
-        keep = u != v
-        pairs_ = np.unique(np.stack([np.maximum(u, v)[keep], np.minimum(u, v)[keep]], 1), axis=0)
-        return pd.DataFrame({"u": pairs_[:, 0], "v": pairs_[:, 1]})
+        found = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
+        return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
     return pairs
 
 
+def _involved(least: int, ratio: float):
+    """The rows of a task's block pairs that any likely pair holds."""
+
+    def needed(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in rows.groupby(_BLOCK, sort=False):
+            some = np.zeros(len(part), bool)
+            for x, y, _ in _likely(part, least, ratio):
+                some[x] = some[y] = True
+            out.append(part.loc[some, ["uid", *_BLOCK, "own"]])
+        return pd.concat(out) if out else rows[["uid", *_BLOCK, "own"]].head(0)
+
+    return needed
+
+
+def _settled(least: int, ratio: float, threshold: float):
+    """Links of all likely pairs of a task's block pairs: each text's labels are made once, each
+    pair is aligned here, and links that join nothing new are left out."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        us, vs = [], []
+        for _, part in rows.groupby(_BLOCK, sort=False):
+            part = part.reset_index(drop=True)
+            label, edges = labels(pa.array(part.norm, pa.large_string()))
+            own, uid = Union(len(part)), part.uid.to_numpy()
+            for x, y, _ in _likely(part, least, ratio):
+                for a, b in zip(x.tolist(), y.tolist()):
+                    if own.root(a) == own.root(b):
+                        continue
+                    if similarity(label[edges[a] : edges[a + 1]], label[edges[b] : edges[b + 1]], threshold) >= threshold:
+                        own.join(a, b)
+                        us.append(uid[a])
+                        vs.append(uid[b])
+        return pd.DataFrame({"u": pd.Series(us, dtype="int64"), "v": pd.Series(vs, dtype="int64")})
+
+    return links
+
+
 def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (uid, ...) with label: the smallest uid that links reach."""
     parts = components(links)
     return nodes.join(parts, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "uid")).drop("node", "component")
 
 
-def _apart(posted: DataFrame, labelled: DataFrame, ratio: float, top: int | None, block: int) -> DataFrame:
-    """Distinct pairs (u, v) of likely similar texts that share a bucket but no group. ``posted``:
-    (uid, bucket); ``labelled``: (uid, n, minima, label). Large buckets are cut into blocks, and
-    every pair of blocks is a task's part of its own."""
-    spark = posted.sparkSession
+def _open(posted: DataFrame, labelled: DataFrame, block: int) -> DataFrame:
+    """(uid, bucket, i, j, own): the places of texts in buckets that hold several groups. Large
+    buckets are cut into blocks; each pair of blocks (i, j) is a place of its own, own being the
+    text's block. ``posted``: (uid, bucket); ``labelled``: (uid, label, ...)."""
     placed = materialize(posted.join(labelled.select("uid", "label"), "uid"), "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-    open_ = open_.filter("low <> high").select(F.col("bucket").alias("_bucket"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    rows = placed.join(open_, F.col("bucket") == F.col("_bucket")).select("uid", "bucket", "blocks")
+    groups = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+    groups = groups.filter("low <> high").select(F.col("bucket").alias("_bucket"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    rows = placed.join(groups, F.col("bucket") == F.col("_bucket")).select("uid", "bucket", "blocks")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("_o", other).withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o"))
-    rows = materialize(rows.select("uid", "bucket", "own", "i", "j"), "open-buckets")
-    tasks = max(rows.count() // GROUP_ROWS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    task = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(tasks))
-    pairs = rows.join(labelled, "uid").groupBy(task.alias("task")).applyInPandas(_across(LEAST_SHARED, ratio, top), "u bigint, v bigint")
-    return materialize(pairs.distinct(), "pairs")
+    return materialize(rows.select("uid", "bucket", "i", "j", "own"), "open-buckets")
+
+
+def _tasks(rows: DataFrame) -> Column:
+    """The task of a block pair; there are enough that each has some GROUP_ROWS rows at most."""
+    many = max(rows.count() // GROUP_ROWS, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return F.pmod(F.xxhash64(*_BLOCK), F.lit(many)).alias("task")
 
 
 def near_duplicates(
@@ -314,10 +365,19 @@ def near_duplicates(
 
     links = _aligned(first, texts, threshold)
     posted = met.select("uid", "bucket")
-    met = reps.join(candidates, "uid").select("uid", "n", "minima")
-    for top in (LIKELIEST, None):
-        pairs = _apart(posted, _grouped(met, links), ratio, top, block)
-        links = links.unionByName(_aligned(pairs, texts, threshold))
+    met = reps.join(candidates, "uid").select("uid", "n", "minima", "buckets")
+
+    labelled = _grouped(met, links)
+    rows = _open(posted, labelled, block)
+    near = rows.join(labelled, "uid").groupBy(_tasks(rows)).applyInPandas(_partners(LEAST_SHARED, ratio, LIKELIEST), "u bigint, v bigint")
+    links = links.unionByName(_aligned(materialize(near.distinct(), "partners"), texts, threshold))
+
+    labelled = _grouped(met, links)
+    rows = _open(posted, labelled, block)
+    place = "uid bigint, bucket bigint, i int, j int, own int"
+    rows = materialize(rows.join(labelled, "uid").groupBy(_tasks(rows)).applyInPandas(_involved(LEAST_SHARED, ratio), place), "involved")
+    full = rows.join(labelled, "uid").join(texts, "uid").groupBy(_tasks(rows))
+    links = links.unionByName(materialize(full.applyInPandas(_settled(LEAST_SHARED, ratio, threshold), "u bigint, v bigint"), "settled"))
 
     named = _grouped(classes, links)
     least = named.groupBy(F.col("label").alias("_label")).agg(F.min("best").alias("least"))
