@@ -1,8 +1,63 @@
-"""Corpus pipeline (stages are added as their operators are)."""
+"""Corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Stages in order: language ID drops documents without a recognisable language; line dedup drops
+boilerplate lines of each source; near-dedup keeps one document of each group; mixing takes each
+source to its target; packing fills the sequences. Each stage's result is written and reread.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadweft.llm import language_id, line_dedup, mixing, order_minhash, packing
+from roadweft.llm.queries import quality_weights, tokenizer
+from roadweft.session import materialize, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; a missing label is filled in. Only `und` is rejected: an ambiguous
+    text may be clean and stays."""
+    found = language_id.identify(docs).filter(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their source's boilerplate lines, n_chars as it is then."""
+    cleaned = line_dedup.drop_boilerplate(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return order_minhash.remove(docs)
+
+
+def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target takes it."""
+    return mixing.mix(docs, quality_weights(table(spark, sf_dir, "labels")))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in the sequences."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("minhash_near_dedup", near_duplicates),
+    ("source_mixing", sources),
+    ("best_fit_packing", sequences),
+]
+
+#: Learned and iterative stages can't be expressed in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written to the shared folder and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
