@@ -58,7 +58,7 @@ TEMPLATES = {
         SELECT 'osm', way_id, CASE WHEN highway IN ({_quoted(SKIP)}) OR class <> 'highway' OR tunnel = 'yes' THEN -1e0 ELSE CAST(s.mph0 AS DOUBLE) END
         FROM (SELECT osm.*, {_CLASS} AS road_type FROM osm) o LEFT JOIN {_LOOKUP} s ON o.road_type = s.type_ AND s.lanes_ = 2)
         SELECT dialect, id, min(speed_mph) AS least_mph, max(speed_mph) AS most_mph, CAST(count(*) AS BIGINT) AS n FROM rules GROUP BY dialect, id""",
-    "fn_highway_class": f"WITH {OSM} SELECT highway, {_CLASS} AS road_type, CAST(count(*) AS BIGINT) AS n FROM osm GROUP BY highway",
+    "fn_highway_class": f"WITH {OSM} SELECT highway, coalesce({_CLASS}, 0) AS road_type, CAST(count(*) AS BIGINT) AS n FROM osm GROUP BY highway",
     "filt_skipset": f"WITH {OSM} SELECT way_id, highway FROM osm WHERE highway NOT IN ({_quoted(SKIP)}) AND tunnel <> 'yes' AND class = 'highway'",
     "filt_roadtypes": f"WITH {OSM} SELECT way_id, lower(highway) AS highway FROM osm WHERE lower(highway) IN ({_quoted(VALID)})",
     "filt_bad_speed": f"WITH {OSM}, s AS (SELECT way_id, CASE WHEN highway IN ({_quoted(SKIP)}) THEN -1 ELSE p_size END AS speed_mph FROM osm) SELECT way_id, speed_mph FROM s WHERE speed_mph >= 0",

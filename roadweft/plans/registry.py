@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("labels", "raster")
+MODULES = ("labels", "raster", "geometry", "graph", "kernels")
 
 
 def _collect(attribute: str) -> dict:
