@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 BATCH_ROWS = 2_000
 BATCH_BYTES = 16 << 20
@@ -14,5 +14,15 @@ def bounded(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def empty(df: DataFrame) -> bool:
-    return df.isEmpty()
+def relax() -> None:
+    """Hand memory that a task no longer uses back to the system: Python workers live on, and what
+    their allocators keep would add to the next operator's peak."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

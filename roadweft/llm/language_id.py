@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweft.llm.arrow import bounded
+from roadweft.llm.arrow import bounded, relax
 from roadweft.session import materialize
 
 #: Rows learnt from per language, about.
@@ -29,7 +29,7 @@ SMOOTH = 0.5
 MARGIN = 0.1
 SCALE = 4.0
 UNKNOWN = "und"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _SPACE = 32
 _MAP = np.arange(256, dtype=np.uint8)
@@ -197,6 +197,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             for name, column in (("lang_pred", pa.array(names, pa.string())), ("score", pa.array(scores)), ("ambiguous", pa.array(close))):
                 out = out.append_column(name, column)
             yield out
+        relax()
 
     return lettered.mapInArrow(guess, schema)
 

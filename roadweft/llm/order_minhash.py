@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweft.llm.arrow import bounded
+from roadweft.llm.arrow import bounded, relax
 from roadweft.llm.components import Union, components
 from roadweft.llm.fingerprints import BLANKS
 from roadweft.llm.tokens import slices
@@ -46,6 +46,7 @@ LEADERS = 4
 LIKELIEST = 4
 BLOCK = 2048
 GROUP_ROWS = 50_000
+SLICE_CHARS = 2_000_000
 
 _MASK = (1 << 64) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -113,7 +114,7 @@ def labels(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in slices(batch.column("norm")):
+        for a, b in slices(batch.column("norm"), SLICE_CHARS):
             label, edges = labels(batch.column("norm").slice(a, b - a))
             size = np.diff(edges)
             some = np.flatnonzero(size)
@@ -140,6 +141,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "buckets": lists,
                 }
             )
+    relax()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
@@ -173,6 +175,7 @@ def _verify(threshold: float):
             right, re = labels(batch.column("right"))
             good = np.array([similarity(left[le[i] : le[i + 1]], right[re[i] : re[i + 1]], threshold) >= threshold for i in range(batch.num_rows)], bool)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+        relax()
 
     return step
 
@@ -279,6 +282,7 @@ def _settled(least: int, ratio: float, threshold: float):
                         own.join(a, b)
                         us.append(uid[a])
                         vs.append(uid[b])
+        relax()
         return pd.DataFrame({"u": pd.Series(us, dtype="int64"), "v": pd.Series(vs, dtype="int64")})
 
     return links

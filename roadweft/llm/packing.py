@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweft.llm.arrow import bounded
+from roadweft.llm.arrow import bounded, relax
 from roadweft.llm.tokens import Encoder, slices
 from roadweft.session import materialize
 
@@ -57,6 +57,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str =
                         for name, value in zip(out, (key, k, start, len(part), zlib.crc32(part.tobytes()))):
                             out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+        relax()
 
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string")).mapInArrow(pieces, PIECES)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweft.llm.arrow import bounded
+from roadweft.llm.arrow import bounded, relax
 from roadweft.llm.tokens import Encoder, slices
 from roadweft.session import materialize
 
@@ -61,6 +61,7 @@ def encode_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
             for start, stop in slices(text):
                 _, counts = encoder.ids(text.slice(start, stop - start))
                 yield pa.RecordBatch.from_pydict({"digest": batch.column("digest").slice(start, stop - start), "n_tokens": pa.array(counts, pa.int64())})
+        relax()
 
     return texts.select("digest", "text").mapInArrow(count, CACHED)
 
