@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweft.llm.arrow import bounded, relax
-from roadweft.llm.components import Union, components
+from roadweft.operators.components import Union, components
 from roadweft.llm.fingerprints import BLANKS
 from roadweft.llm.tokens import slices
 from roadweft.session import materialize
