@@ -226,7 +226,7 @@ def pack(
     repeated rows and rows that share an id are packed each; null ids are kept; an empty table
     gives an empty result; other columns are not read. Memory is bounded by ``shard_pieces``.
     """
-    bounded(docs.sparkSession, rows=4_000)
+    bounded(docs.sparkSession, rows=3_000)
     pieces = materialize(cut(docs, tokenizer, capacity, doc_id, text).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     items, placed, level = pieces.select("uid", "length"), None, 0
     while (n := items.count()) or placed is None:

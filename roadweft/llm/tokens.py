@@ -9,7 +9,7 @@ are the ids of its chunks in order:
   others are encoded whole by the library.
 
 Within an Arrow batch each distinct chunk is looked up once; unknown ones go to the library. The
-cache of a Python worker is bounded and starts anew when it is full.
+cache of a Python worker is bounded: when its newer half is full the older half is dropped.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 200_000
 LONG_CHUNK = 64
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 6_000_000
 #: Not regular for "bytes": blanks at an end, runs of blanks, and any other white space.
 _IRREGULAR = "^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _FIRST = "\r"
@@ -46,6 +46,7 @@ class Encoder:
         self.kind = kind
         #: little-endian ids by chunk
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.letters: dict[int, str] | None = None
 
     @classmethod
@@ -81,6 +82,8 @@ class Encoder:
                 continue
             low = core.lower()
             ids = known.get(low)
+            if ids is None and (ids := self.older.get(low)) is not None:
+                known[low] = ids
             if ids is None:
                 ids = known[low] = array("I", [t.id for t in model(low if low.isascii() else low.translate(letters))]).tobytes()
             if core != c:
@@ -93,9 +96,13 @@ class Encoder:
         return new, rest
 
     def _lookup(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
+        if len(self.known) > CACHE_CHUNKS:  # what is still in use moves on from the older half
+            self.known, self.older = {}, self.known
         found = list(map(self.known.get, chunks))
+        if self.older:
+            for k, ids in enumerate(found):
+                if ids is None and (ids := self.older.get(chunks[k])) is not None:
+                    found[k] = self.known[chunks[k]] = ids
         missing = [c for c, ids in zip(chunks, found) if ids is None]
         if not missing:
             return found
