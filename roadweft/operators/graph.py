@@ -146,12 +146,13 @@ def simplify(edges: DataFrame) -> DataFrame:
     return alone.unionByName(ends.select(low.alias("u"), F.coalesce(F.array_max("ends"), F.col("chain")).alias("v"), "length", "pieces"))
 
 
-def greedy_match(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def greedy_match(pairs: DataFrame) -> DataFrame:
     """One-to-one matching in ascending (d, s, e), each node used once: pairs that are the first of
-    both their nodes are taken, their nodes leave, and so on; equal to taking pairs in order."""
+    both their nodes are taken, their nodes leave, and so on; equal to taking pairs in order. Every
+    round takes the first pair that is left at least, so the rounds end."""
     left = materialize(pairs.select("s", "e", "d"), "pairs")
     taken = None
-    for _ in range(rounds):
+    while True:
         rank = F.struct("d", "s", "e")
         ends = left.select(F.explode(F.array("s", "e")).alias("node"), rank.alias("r"))
         first = ends.groupBy("node").agg(F.min("r").alias("r"))

@@ -116,8 +116,8 @@ def simplify_line(points: np.ndarray, epsilon: float) -> np.ndarray:
     return points[keep]
 
 
-def skeleton_graph(skeleton: np.ndarray) -> tuple[list[tuple[float, float]], list[tuple[int, int, float]]]:
-    """(nodes as centres of their pixels, edges as (node, node, length)) of a skeleton.
+def skeleton_paths(skeleton: np.ndarray) -> tuple[list[tuple[float, float]], list[tuple[int, int, np.ndarray]]]:
+    """(nodes as centres of their pixels, edges as (node, node, pixels from end to end)) of a skeleton.
 
     Pixels with exactly two neighbours belong to edges, others to nodes; touching node pixels are
     one node. A closed ring has no node pixel, hence neither nodes nor edges."""
@@ -133,15 +133,25 @@ def skeleton_graph(skeleton: np.ndarray) -> tuple[list[tuple[float, float]], lis
             y, x = start[0] + dy, start[1] + dx
             if not inside(y, x) or not path[y, x] or seen[y, x]:
                 continue
-            length, before, at = float(np.hypot(dy, dx)), start, (y, x)
+            pixels, at = [start], (y, x)
             while path[at]:
                 seen[at] = True
-                ahead = [(at[0] + a, at[1] + b) for a, b in RING if inside(at[0] + a, at[1] + b) and skeleton[at[0] + a, at[1] + b] and (at[0] + a, at[1] + b) != before]
+                ahead = [(at[0] + a, at[1] + b) for a, b in RING if inside(at[0] + a, at[1] + b) and skeleton[at[0] + a, at[1] + b] and (at[0] + a, at[1] + b) != pixels[-1]]
                 fresh = [p for p in ahead if node[p]] or [p for p in ahead if not seen[p]]
                 if not fresh:
                     break
-                before, at = at, fresh[0]
-                length += float(np.hypot(at[0] - before[0], at[1] - before[1]))
+                pixels.append(at)
+                at = fresh[0]
             if node[at]:
-                edges.append((int(node[start]) - 1, int(node[at]) - 1, length))
+                edges.append((int(node[start]) - 1, int(node[at]) - 1, np.array([*pixels, at])))
     return nodes, edges
+
+
+def path_length(points: np.ndarray) -> float:
+    return float(np.hypot(*np.diff(points, axis=0).T).sum())
+
+
+def skeleton_graph(skeleton: np.ndarray) -> tuple[list[tuple[float, float]], list[tuple[int, int, float]]]:
+    """(nodes, edges as (node, node, length)) of a skeleton."""
+    nodes, edges = skeleton_paths(skeleton)
+    return nodes, [(u, v, path_length(pixels)) for u, v, pixels in edges]

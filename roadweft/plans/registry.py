@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("labels", "raster", "geometry", "graph", "kernels")
+MODULES = ("labels", "raster", "geometry", "graph", "kernels", "lines")
 
 
 def _collect(attribute: str) -> dict:
