@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("labels", "raster", "geometry", "graph", "kernels", "lines")
+MODULES = ("labels", "raster", "geometry", "graph", "kernels", "lines", "storage")
 
 
 def _collect(attribute: str) -> dict:

@@ -6,10 +6,14 @@ import dataclasses
 import json
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadweft.sources import codecs
+
 IMAGES = "*.{tif,tiff,jpg,JPEG,JPG,png}"
 GEOJSON = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<double>>>>>"
 
@@ -21,8 +25,9 @@ def listing(spark: SparkSession, folder: str, pattern: str = IMAGES) -> DataFram
 
 
 def rasters(spark: SparkSession, folder: str, pattern: str = IMAGES) -> DataFrame:
-    """Raw rasters (path, content); a decoder runs over them with mapInArrow."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    """Raw rasters (path, name, content), for `bands`."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
 def csv(spark: SparkSession, path: str, schema: str | T.StructType, indexed: bool = False) -> DataFrame:
@@ -70,3 +75,33 @@ class Config:
 
     def updated(self, **changes) -> "Config":
         return dataclasses.replace(self, **changes)
+
+
+BAND = "name string, band int, height int, width int, x0 double, y0 double, pixel_x double, pixel_y double, type string, pixels binary"
+
+
+def bands(images: DataFrame) -> DataFrame:
+    """Decoded bands (schema BAND, pixels row by row) of images (name, content), one image at a time;
+    geography is null where a file has none. Files that are no TIFF or PNG are errors."""
+
+    def step(batches):
+        for rows in batches:
+            for name, content in zip(rows.name, rows.content):
+                image, geo = codecs.read(bytes(content))
+                for k, band in enumerate(image, 1):
+                    yield pd.DataFrame([(name, k, *band.shape, *(geo or (None,) * 4), str(band.dtype), band.tobytes())], columns=[c.split()[0] for c in BAND.split(", ")])
+
+    return images.select("name", "content").mapInPandas(step, BAND)
+
+
+def pixels(decoded: DataFrame) -> DataFrame:
+    """(name, band, y, x, v): the pixels of ``bands`` that are not zero."""
+
+    def step(batches):
+        for rows in batches:
+            for r in rows.itertuples():
+                image = np.frombuffer(r.pixels, r.type).reshape(r.height, r.width)
+                y, x = np.nonzero(image)
+                yield pd.DataFrame({"name": r.name, "band": r.band, "y": y, "x": x, "v": image[y, x].astype(float)})
+
+    return decoded.mapInPandas(step, "name string, band int, y int, x int, v double")

@@ -1,10 +1,16 @@
-"""Sinks: CSV, GeoJSON, graphs, split folders."""
+"""Sinks: CSV, GeoJSON, graphs, split folders, rasters."""
 
 from __future__ import annotations
 
+import os
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadweft.sources import codecs
+
 
 def csv(df: DataFrame, path: str, overwrite: bool = True) -> None:
     """CSV with a header; an existing target is kept unless ``overwrite``."""
@@ -24,3 +30,33 @@ def graph(nodes: DataFrame, edges: DataFrame, folder: str, by: str = "image_id")
 
 def split(df: DataFrame, path: str, column: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(column).parquet(path)
+
+
+def encoded(pixels: DataFrame, height: int, width: int, count: int, form: str = "tif") -> DataFrame:
+    """(name, content): 8-bit TIFF or PNG files of pixels (name, band, y, x, v), one image at a time;
+    pixels that are missing are 0, of several for one place the largest holds."""
+
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((count, height, width), np.uint8)
+        np.maximum.at(image, (rows.band.to_numpy() - 1, rows.y.to_numpy(), rows.x.to_numpy()), rows.v.to_numpy().astype(np.uint8))
+        content = codecs.write_png(image) if form == "png" else codecs.write_tiff(image)
+        return pd.DataFrame({"name": [f"{rows['name'].iloc[0]}.{form}"], "content": [content]})
+
+    return pixels.groupBy("name").applyInPandas(step, "name string, content binary")
+
+
+def images(files: DataFrame, folder: str) -> DataFrame:
+    """Write (name, content) to files in a folder mounted on every executor; returns (name, bytes)
+    of what was written. A file appears whole or not at all, so a task that runs again does no harm."""
+
+    def step(batches):
+        os.makedirs(folder, exist_ok=True)
+        for rows in batches:
+            for name, content in zip(rows["name"], rows.content):
+                part = os.path.join(folder, f".{name}.{os.getpid()}")
+                with open(part, "wb") as out:
+                    out.write(content)
+                os.replace(part, os.path.join(folder, name))
+            yield pd.DataFrame({"name": rows["name"], "bytes": rows.content.map(len)})
+
+    return files.mapInPandas(step, "name string, bytes bigint")

@@ -63,3 +63,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_rasters_as_files(spark, tmp_path):
+    rows = [("a", band, y, x, float(band * 10 + y + x)) for band in (1, 2) for y in range(3) for x in range(4)]
+    pixels = spark.createDataFrame(rows, "name string, band int, y int, x int, v double")
+    folder = str(tmp_path / "images")
+    written = sinks.images(sinks.encoded(pixels, 3, 4, 2), folder).collect()
+    assert [r.name for r in written] == ["a.tif"]
+    assert [r.name for r in files.listing(spark, folder).collect()] == ["a.tif"]
+    decoded = files.bands(files.rasters(spark, folder))
+    assert [(r.band, r.height, r.width, r.x0) for r in decoded.orderBy("band").collect()] == [(1, 3, 4, None), (2, 3, 4, None)]
+    got = {(r.band, r.y, r.x, r.v) for r in files.pixels(decoded).collect()}
+    assert got == {(band, y, x, v) for _, band, y, x, v in rows}
+
+
+def test_no_rasters(spark):
+    assert files.pixels(files.bands(spark.createDataFrame([], "name string, content binary"))).count() == 0
