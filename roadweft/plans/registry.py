@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("labels", "raster", "geometry", "graph", "kernels", "lines", "storage")
+# a later module's query replaces an earlier one of the same name
+MODULES = ("labels", "raster", "geometry", "graph", "kernels", "lines", "storage", "numbered")
 
 
 def _collect(attribute: str) -> dict:
