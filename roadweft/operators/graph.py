@@ -58,12 +58,38 @@ def _dijkstra(around: dict[int, list[tuple[int, float]]], source: int) -> dict[i
     return settled
 
 
-def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
-    """(node, distance, before) from ``source`` along undirected edges; only its component is read
-    by the kernel, so memory is bounded by one component."""
+def _lightest(edges: DataFrame, *by: str) -> DataFrame:
+    """Of parallel edges, in either direction, the lightest."""
+    low, high = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    return edges.select(*by, low, high, "weight").groupBy(*by, "u", "v").agg(F.min("weight").alias("weight"))
+
+
+def _relaxed(edges: DataFrame, source: int) -> DataFrame:
+    """(node, distance, before) by rounds in which the nodes that came nearer make offers to their
+    neighbours; no task holds more of the graph than a join does. Weights are positive."""
+    back = edges.select(F.col("v").alias("a"), F.col("u").alias("b"), "weight")
+    both = materialize(edges.toDF("a", "b", "weight").unionByName(back), "arcs")
+    known = fresh = edges.sparkSession.createDataFrame([(source, 0.0, None)], "node bigint, distance double, before bigint")
+    while True:
+        offers = fresh.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.struct((F.col("distance") + F.col("weight")).alias("distance"), F.col("a").alias("before")).alias("offer"))
+        best = offers.groupBy("node").agg(F.min("offer").alias("offer")).select("node", "offer.*")
+        old = known.select(F.col("node").alias("_n"), F.col("distance").alias("_d"), F.col("before").alias("_b"))
+        nearer = F.col("_n").isNull() | (F.col("distance") < F.col("_d")) | ((F.col("distance") == F.col("_d")) & (F.col("before") < F.col("_b")))
+        fresh = materialize(best.join(old, F.col("node") == F.col("_n"), "left").filter(nearer).drop("_n", "_d", "_b"), "nearer")
+        if fresh.isEmpty():
+            return known
+        known = materialize(known.join(fresh.select("node"), "node", "left_anti").unionByName(fresh), "known")
+
+
+def shortest_paths(edges: DataFrame, source: int, kernel_edges: int = 2_000_000) -> DataFrame:
+    """(node, distance, before) from ``source`` along undirected edges of positive weight; of equal
+    ways the one by the smaller node before. A component of at most ``kernel_edges`` pairs is walked
+    in one task, a larger one by rounds of joins. Without edges at ``source`` nothing is found."""
     marked = materialize(with_component(edges), "marked")
     home = marked.filter((F.col("u") == source) | (F.col("v") == source)).select(F.col("component").alias("_c")).distinct()
-    own = marked.join(home, F.col("component") == F.col("_c"), "left_semi")
+    own = materialize(_lightest(marked.join(home, F.col("component") == F.col("_c"), "left_semi"), "component"), "own")
+    if own.count() > kernel_edges:
+        return _relaxed(own.drop("component"), source)
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         found = _dijkstra(_around(rows), source)
@@ -84,7 +110,7 @@ def longest_paths(edges: DataFrame, max_nodes: int = 20) -> DataFrame:
         far = max((d for s in around for d, _ in _dijkstra(around, s).values()), default=0.0)
         return pd.DataFrame({"component": [rows.component.iloc[0]], "nodes": [rows.nodes.iloc[0]], "longest": [far]})
 
-    return marked.join(small, F.col("component") == F.col("_c")).groupBy("component").applyInPandas(longest, "component bigint, nodes bigint, longest double")
+    return _lightest(marked.join(small, F.col("component") == F.col("_c")), "component", "nodes").groupBy("component").applyInPandas(longest, "component bigint, nodes bigint, longest double")
 
 
 def clean_subgraphs(edges: DataFrame, min_length: float = 300.0, max_nodes: int = 20) -> DataFrame:

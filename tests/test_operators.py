@@ -80,6 +80,15 @@ def test_shortest_paths(some_edges):
     assert {r.node: r.distance for r in graph.shortest_paths(df, source).collect()} == dist
 
 
+def test_shortest_paths_by_rounds(spark):
+    edges = [(1, 2, 4.0), (1, 3, 1.0), (3, 2, 1.0), (2, 4, 2.0), (2, 4, 1.0), (3, 4, 2.0), (4, 4, 1.0), (8, 9, 1.0)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint, weight double")
+    want = {(1, 0.0, None), (3, 1.0, 1), (2, 2.0, 3), (4, 3.0, 2)}
+    for kernel_edges in (0, 100):
+        assert {tuple(r) for r in graph.shortest_paths(df, 1, kernel_edges).select("node", "distance", "before").collect()} == want
+    assert graph.shortest_paths(df, 77).count() == 0
+
+
 def test_prune_spurs(some_edges):
     edges, df = some_edges
     now = [e for e in edges if e[0] != e[1]]
