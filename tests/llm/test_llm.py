@@ -395,6 +395,13 @@ def test_line_dedup_odd(spark, none):
     assert line_dedup.drop_boilerplate(none).count() == 0
 
 
+def test_line_dedup_ratio(spark):
+    rows = [(i, ("header\n" if i < 8 else "") + ("copied\n" if i >= 95 else "") + f"line {i}", "a") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    found = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df).collect()}
+    assert found[3] == "line 3" and found[97] == "copied\nline 97"
+
+
 def test_pipeline(spark, sf_dir, odd, none):
     import corpus_pipeline as pipeline
 
