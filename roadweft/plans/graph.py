@@ -11,7 +11,7 @@ from roadweft.plans.geometry import _HAV, NODE
 from roadweft.plans.labels import _ROUND
 from roadweft.session import table
 
-SPARSE = "nn AS (SELECT count(*) AS n FROM {orders}), sparse AS (SELECT o_orderkey AS u, CAST((7 * o_orderkey + 3) % n AS BIGINT) AS v, o_totalprice AS weight FROM {orders} CROSS JOIN nn WHERE o_orderkey % 3 = 0)"
+SPARSE = "nn AS (SELECT count(*) AS n FROM {orders}), sparse AS (SELECT o_orderkey AS u, CAST((7 * o_orderkey + 3) % n AS BIGINT) AS v, o_totalprice AS weight FROM {orders} CROSS JOIN nn)"
 DENSE = "dense AS (SELECT l_partkey AS u, 100000 + l_suppkey AS v, l_quantity AS weight, l_orderkey AS ord, l_linenumber AS line FROM {lineitem})"
 DEGREE = "ends AS (SELECT u AS node, v AS other FROM sparse UNION ALL SELECT v, u FROM sparse), degree AS (SELECT node, CAST(count(*) AS BIGINT) AS degree, CAST(count(DISTINCT other) AS BIGINT) AS neighbours, max(CASE WHEN node = other THEN 1 ELSE 0 END) AS loops FROM ends GROUP BY node)"
 INOUT = "io AS (SELECT node, sum(o) AS outs, sum(i) AS ins FROM (SELECT u AS node, 1 AS o, 0 AS i FROM sparse UNION ALL SELECT v, 0, 1 FROM sparse) t GROUP BY node)"
@@ -58,7 +58,7 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edge table with many components: u, v, weight."""
     orders = table(spark, sf_dir, "orders")
     n = orders.count()
-    return orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("u"), F.expr(f"CAST((7 * o_orderkey + 3) % {n} AS BIGINT)").alias("v"), F.col("o_totalprice").alias("weight"))
+    return orders.select(F.col("o_orderkey").alias("u"), F.expr(f"CAST((7 * o_orderkey + 3) % {n} AS BIGINT)").alias("v"), F.col("o_totalprice").alias("weight"))
 
 
 def gr_cc(spark: SparkSession, sf_dir: str) -> DataFrame:
