@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweft.operators import graph
-from roadweft.plans.dual import both
+from roadweft.plans.dual import both, spark_query
 from roadweft.plans.geometry import _HAV, NODE
 from roadweft.plans.labels import _ROUND
 from roadweft.session import table
@@ -16,8 +16,8 @@ DENSE = "dense AS (SELECT l_partkey AS u, 100000 + l_suppkey AS v, l_quantity AS
 DEGREE = "ends AS (SELECT u AS node, v AS other FROM sparse UNION ALL SELECT v, u FROM sparse), degree AS (SELECT node, CAST(count(*) AS BIGINT) AS degree, CAST(count(DISTINCT other) AS BIGINT) AS neighbours, max(CASE WHEN node = other THEN 1 ELSE 0 END) AS loops FROM ends GROUP BY node)"
 INOUT = "io AS (SELECT node, sum(o) AS outs, sum(i) AS ins FROM (SELECT u AS node, 1 AS o, 0 AS i FROM sparse UNION ALL SELECT v, 0, 1 FROM sparse) t GROUP BY node)"
 ENDPOINT = f"{SPARSE}, {DEGREE}, {INOUT}, endpoint AS (SELECT d.node, d.loops = 1 OR outs = 0 OR ins = 0 OR NOT (neighbours = 2 AND degree IN (2, 4)) AS is_endpoint FROM degree d JOIN io ON d.node = io.node)"
-#: Terminals: nodes on a grid of 1300 pixels.
-TERMINAL = "terminal AS (SELECT o_orderkey AS id, CAST(o_orderkey * 37 % 1301 AS DOUBLE) AS x, CAST(o_orderkey * 91 % 1297 AS DOUBLE) AS y FROM {orders} WHERE o_orderkey % 10 = 0)"
+#: Terminals: all nodes; every 1500 keys fill another strip of 1301 x 1297 pixels, so that density is the same at any size.
+TERMINAL = "terminal AS (SELECT o_orderkey AS id, CAST(1301 * @div(o_orderkey, 1500) + o_orderkey * 37 % 1301 AS DOUBLE) AS x, CAST(o_orderkey * 91 % 1297 AS DOUBLE) AS y FROM {orders})"
 NEAR = f"""{TERMINAL}, cell AS (SELECT *, CAST(floor(x / 80e0) AS BIGINT) AS cx, CAST(floor(y / 80e0) AS BIGINT) AS cy FROM terminal),
     around AS (SELECT id, x, y, cx + i AS cx, cy + j AS cy FROM (SELECT *, @series(-1, 1) AS j FROM (SELECT *, @series(-1, 1) AS i FROM cell) a) b),
     near AS (SELECT a.id AS s, b.id AS e, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM around a JOIN cell b ON a.cx = b.cx AND a.cy = b.cy WHERE a.id < b.id),
@@ -99,7 +99,7 @@ def topk_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gr_clean_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = QUERIES["join_proximity"](spark, sf_dir).filter("d < 30")
-    points = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").selectExpr("o_orderkey AS id", "CAST(o_orderkey * 37 % 1301 AS DOUBLE) AS x", "CAST(o_orderkey * 91 % 1297 AS DOUBLE) AS y")
+    points = spark_query(f"WITH {TERMINAL} SELECT id, x, y FROM terminal")(spark, sf_dir)
     return graph.merge_points(points, pairs.select(F.col("s").alias("u"), F.col("e").alias("v")))
 
 

@@ -1,5 +1,6 @@
 """Graph queries see every row of their tables."""
 
+import math
 from collections import Counter
 
 import duckdb
@@ -53,3 +54,19 @@ def test_chains_of_all_orders(spark, sf_dir, edges):
     assert sorted(found(spark, sf_dir, "gr_prune_spur")) == sorted(edges)
     back = {(v, u) for u, v, _ in edges}
     assert sum(r[1] for r in found(spark, sf_dir, "gr_paths")) == sum((u, v) not in back for u, v, _ in edges)
+
+
+def test_points_of_all_orders(spark, sf_dir, edges):
+    at = {k: (1301 * (k // 1500) + 37 * k % 1301, 91 * k % 1297) for k, *_ in edges}
+    near = {(a, b): math.dist(at[a], at[b]) for a in at for b in at if a < b}
+    near = {p: d for p, d in near.items() if 0 < d < 80 and d != 24}
+    assert {(s, e) for s, e, *_ in found(spark, sf_dir, "join_proximity")} == set(near)
+    used, truth = set(), set()
+    for _, s, e in sorted((round(d, 6), *p) for p, d in near.items()):
+        if not {s, e} & used:
+            used |= {s, e}
+            truth.add((s, e))
+    assert set(found(spark, sf_dir, "topk_greedy_match")) == truth
+    clusters = found(spark, sf_dir, "gr_clean_intersect")
+    linked = brute_parts([p for p, d in near.items() if d < 30])
+    assert {c: n for c, _, _, n in clusters} == Counter(linked.get(k, k) for k in at)
