@@ -41,8 +41,13 @@ TEMPLATES = {
     "filt_null_mask": f"WITH {PIXEL}, f AS (SELECT x, avg(CASE WHEN v <= 5 THEN 1e0 ELSE 0e0 END) AS zero FROM pixel GROUP BY x) SELECT p.src, p.x, p.y, p.band, CASE WHEN f.zero >= 0.05e0 AND p.v <= 5 THEN 0 ELSE p.band END AS mask FROM pixel p JOIN f ON p.x = f.x",
     "filt_alpha_tile": f"WITH {PIXEL} SELECT x, @div(y, 16) AS tile, {_ROUND('avg(v)', 6)} AS alpha FROM pixel GROUP BY x, @div(y, 16) HAVING avg(v) > 5",
     "tf_thresh": f"WITH {PIXEL} SELECT x, y, max(v) AS v FROM pixel GROUP BY x, y HAVING max(v) > 50 * 0.3e0",
-    "tf_cut_border": f"WITH {PIXEL} SELECT x - 22 AS x, y - 22 AS y, max(v) AS v FROM pixel WHERE x >= 22 AND y >= 22 AND x < 1000 - 22 GROUP BY x, y",
-    "tf_pad": f"WITH {PIXEL}, s AS (SELECT y, max(v) AS v FROM pixel WHERE x = 0 AND y < 64 GROUP BY y), t AS (SELECT CAST(i AS BIGINT) AS y FROM (SELECT @series(-8, 71) AS i) t) SELECT t.y, s.v FROM t JOIN s ON s.y = CASE WHEN t.y < 0 THEN -1 - t.y WHEN t.y > 63 THEN 127 - t.y ELSE t.y END",
+    # images of 1000 x 1000 pixels
+    "tf_cut_border": f"WITH {PIXEL}, p AS (SELECT @div(x, 1000) AS image_x, @div(y, 1000) AS image_y, x % 1000 AS x, y % 1000 AS y, v FROM pixel) SELECT image_x, image_y, x - 22 AS x, y - 22 AS y, max(v) AS v FROM p WHERE x >= 22 AND y >= 22 AND x < 1000 - 22 AND y < 1000 - 22 GROUP BY image_x, image_y, x, y",
+    # images of 64 x 64 pixels, a border of 8 reflected on each side
+    "tf_pad": f"""WITH {PIXEL}, p AS (SELECT @div(x, 64) AS image_x, @div(y, 64) AS image_y, x % 64 AS x, y % 64 AS y, v FROM pixel),
+        s AS (SELECT image_x, image_y, x, y, max(v) AS v FROM p GROUP BY image_x, image_y, x, y),
+        t AS (SELECT CAST(i AS BIGINT) AS place, CAST(CASE WHEN i < 0 THEN -1 - i WHEN i > 63 THEN 127 - i ELSE i END AS BIGINT) AS src FROM (SELECT @series(-8, 71) AS i) q)
+        SELECT s.image_x, s.image_y, a.place AS x, b.place AS y, s.v FROM s JOIN t a ON a.src = s.x JOIN t b ON b.src = s.y""",
     "tf_border_fix": f"WITH {PIXEL}, p AS (SELECT x % 32 AS x, y % 32 AS y, max(v) AS v FROM pixel GROUP BY x % 32, y % 32) SELECT x + 5 - 7 + 2 AS x, y + 5 - 7 + 2 AS y, v FROM p WHERE x + 5 >= 7 AND y + 5 >= 7 AND x + 5 < 42 - 7 AND y + 5 < 42 - 7",
     "agg_dissolve": f"WITH {PIXEL} SELECT x, y, band AS speed, max(v) AS burned FROM pixel GROUP BY x, y, band",
     "geo_rasterize": f"WITH {PIXEL}, o AS (SELECT x, y, v, row_number() OVER (PARTITION BY x, y ORDER BY src DESC, band DESC, v DESC) AS rank FROM pixel) SELECT x, y, v AS burned FROM o WHERE rank = 1",

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from roadweft.operators import graph as operators
@@ -70,3 +71,28 @@ def test_points_of_all_orders(spark, sf_dir, edges):
     clusters = found(spark, sf_dir, "gr_clean_intersect")
     linked = brute_parts([p for p, d in near.items() if d < 30])
     assert {c: n for c, _, _, n in clusters} == Counter(linked.get(k, k) for k in at)
+
+
+def images(sf_dir, side):
+    """Images by (image_x, image_y), NaN where there is no pixel."""
+    out = {}
+    for x, y, v in duckdb.connect().execute(f"SELECT l_partkey, l_suppkey, max(l_quantity) FROM '{sf_dir}/lineitem.parquet' GROUP BY ALL").fetchall():
+        out.setdefault((x // side, y // side), np.full((side, side), np.nan))[x % side, y % side] = v
+    return out
+
+
+def pixels(made, start=0):
+    return {(*at, int(x) + start, int(y) + start, v[x, y]) for at, v in made.items() for x, y in zip(*np.nonzero(~np.isnan(v)), strict=True)}
+
+
+def test_pad_of_all_images(spark, sf_dir):
+    truth = pixels({at: np.pad(v, 8, mode="symmetric") for at, v in images(sf_dir, 64).items()}, -8)
+    rows = registry.queries()["tf_pad"](spark, sf_dir).select("image_x", "image_y", "x", "y", "v").collect()
+    assert len(rows) == len(truth) and set(map(tuple, rows)) == truth
+
+
+def test_cut_border_of_all_images(spark):
+    sf_dir = "/root/testdata/sf0.01"  # the smallest table has no pixel inside the border
+    truth = pixels({at: v[22:-22, 22:-22] for at, v in images(sf_dir, 1000).items()})
+    rows = registry.queries()["tf_cut_border"](spark, sf_dir).select("image_x", "image_y", "x", "y", "v").collect()
+    assert {r.image_x for r in rows} == {0, 1} and set(map(tuple, rows)) == truth
