@@ -47,7 +47,7 @@ TEMPLATES = {
     "join_anti_edge": f"WITH {SPARSE}, {NEAR} SELECT s, e FROM pair p WHERE NOT EXISTS (SELECT 1 FROM sparse x WHERE least(x.u, x.v) = p.s AND greatest(x.u, x.v) = p.e)",
     "sort_pair_dist": f"WITH {NEAR} SELECT s, e, CAST(row_number() OVER (ORDER BY d, s, e) AS BIGINT) AS place FROM pair",
     "join_path_edge": f"WITH {DENSE}, best AS (SELECT u, v, ord, weight, row_number() OVER (PARTITION BY u, v ORDER BY weight, ord, line) AS rank FROM dense) SELECT u, v, ord, weight AS length FROM best WHERE rank = 1",
-    "gr_route_coords": f"WITH {NODE}, r AS (SELECT node, lat, lon, lead(lat) OVER (ORDER BY node) AS lat2, lead(lon) OVER (ORDER BY node) AS lon2 FROM node WHERE node < 50) SELECT node, lon AS x0, lat AS y0, lon2 AS x1, lat2 AS y1, {_ROUND(_HAV, 3)} AS length FROM r WHERE lat2 IS NOT NULL",
+    "gr_route_coords": f"WITH {NODE}, r AS (SELECT node, lat, lon, lead(lat) OVER (ORDER BY node) AS lat2, lead(lon) OVER (ORDER BY node) AS lon2 FROM node) SELECT node, lon AS x0, lat AS y0, lon2 AS x1, lat2 AS y1, {_ROUND(_HAV, 3)} AS length FROM r WHERE lat2 IS NOT NULL",
     "set_line_substr_dedup": "WITH l AS (SELECT DISTINCT p_type AS a, concat(p_brand, p_type) AS b FROM {part}) SELECT x.a, x.b FROM l x WHERE NOT EXISTS (SELECT 1 FROM l y WHERE y.b <> x.b AND (contains(y.b, x.b) OR contains(reverse(y.b), x.b)))",
 }
 

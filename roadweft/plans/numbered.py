@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from roadweft.operators.ranking import numbered
 from roadweft.plans import graph, labels, lines
-from roadweft.plans.dual import spark_query
+from roadweft.plans.dual import SPARK, render, spark_query
+from roadweft.plans.geometry import _HAV, NODE
 from roadweft.session import table
 
 FOLDS = 4
@@ -79,9 +80,16 @@ def gr_wkt2edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("way_id", "pos", "u", "v", F.abs(F.col("_v") - F.col("_u")).cast("double").alias("length_pix"))
 
 
+def gr_route_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of the route along all nodes."""
+    places = numbered(spark_query(f"WITH {NODE} SELECT node, lat, lon FROM node")(spark, sf_dir), "node")
+    after = places.selectExpr("pos - 1 AS pos", "lat AS lat2", "lon AS lon2")
+    return places.join(after, "pos").selectExpr("node", "lon AS x0", "lat AS y0", "lon2 AS x1", "lat2 AS y1", render(labels._ROUND(_HAV, 3), SPARK) + " AS length")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (win_rownum_mod, filt_fold, set_except_fold, sample_shuffle, win_position_chunk, ds_names_idx, join_dir_zip, geo_stamp, sort_pair_dist, win_first_seen_id, gr_wkt2edges)
+    for f in (win_rownum_mod, filt_fold, set_except_fold, sample_shuffle, win_position_chunk, ds_names_idx, join_dir_zip, geo_stamp, sort_pair_dist, win_first_seen_id, gr_wkt2edges, gr_route_coords)
 }
 _WINDOWS = labels.ORACLE_SQL | graph.ORACLE_SQL | lines.ORACLE_SQL
 ORACLE_SQL = {name: _WINDOWS[name] for name in QUERIES}

@@ -96,3 +96,10 @@ def test_cut_border_of_all_images(spark):
     truth = pixels({at: v[22:-22, 22:-22] for at, v in images(sf_dir, 1000).items()})
     rows = registry.queries()["tf_cut_border"](spark, sf_dir).select("image_x", "image_y", "x", "y", "v").collect()
     assert {r.image_x for r in rows} == {0, 1} and set(map(tuple, rows)) == truth
+
+
+def test_route_along_all_nodes(spark, sf_dir, edges):
+    nodes = sorted(e[0] for e in edges)
+    rows = registry.queries()["gr_route_coords"](spark, sf_dir).select("node", "x0", "x1").collect()
+    at = {k: -115 + 0.001 * (k % 777) for k in nodes}
+    assert {(r.node, round(r.x0, 6), round(r.x1, 6)) for r in rows} == {(a, round(at[a], 6), round(at[b], 6)) for a, b in zip(nodes, nodes[1:])}
