@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-BATCH_ROWS = 2_000
-BATCH_BYTES = 16 << 20
-
-
-def bounded(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Hand Python workers few rows at a time, since texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+#: One pair of limits for all operators: plans are lazy, so limits of one's own would hold for
+#: whatever runs next.
+LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Hand Python workers few rows at a time, since texts can be very long. The session's limits
+    are lowered to LIMITS and never raised."""
+    for name, limit in LIMITS.items():
+        now = spark.conf.get(name).strip().lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= limit:
+            spark.conf.set(name, str(limit))
 
 
 def relax() -> None:

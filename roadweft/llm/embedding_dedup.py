@@ -1,11 +1,12 @@
 """Embedding near-dedup: a navigable small-world graph per shard, every vector asked of every shard.
 
 Equal vectors are one class and are asked once. A search task holds one shard's graph and a block
-of queries. Its beam starts narrow and is doubled for all its queries until an audit, in which
-some queries are also answered by a full scan, finds enough; a query whose beam is full of links
-is widened alone, up to a full scan, so that no vector has a cap on its partners. What is found
-is verified in double precision. A task returns a count per query and a spanning forest of its
-links, never the links themselves.
+of queries. Its beam starts narrow and is doubled until an audit, in which some queries are also
+answered by a full scan, finds enough: the mean recall of the audited queries that have any link,
+so that queries of large groups weigh no more than others. A query whose beam is full of links is
+answered by a full scan, so that no vector has a cap on its partners. What is found is verified in
+double precision. Links are counted and joined a few queries at a time; a task returns a count per
+query and a spanning forest of its links, never the links themselves.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweft.operators.components import components
+from roadweft.llm.columns import named
 from roadweft.llm.hnsw import Index, Layer
+from roadweft.operators.components import components
 from roadweft.session import materialize
 
 THRESHOLD = 0.95
@@ -25,13 +27,17 @@ SHARD_ROWS = 1 << 16
 BLOCK_ROWS = 1 << 15
 BEAM = 16
 AUDIT = 256
-RECALL = 0.98
+#: Mean recall that an audit asks for, and below which the audits of all tasks together are an error.
+RECALL, LEAST_RECALL = 0.98, 0.9
+#: Queries searched, and queries scanned in full, at a time.
+SEARCHED, SCANNED = 1024, 64
 #: Float32 similarities this far below the threshold are verified too.
 SLACK = 1e-4
 
 _NODE = "dim int, shard int, layer int, pos int, uid bigint, n bigint, vector array<double>, links array<int>"
 _FOUND = "kind int, u bigint, v bigint, n bigint"
 LINKS, EDGE, AUDITED = 0, 1, 2
+MILLIONTH = 1e-6
 
 
 def usable(vector: Column) -> Column:
@@ -94,60 +100,83 @@ def _restore(rows: pa.Table, dim: int) -> tuple[Index, np.ndarray, np.ndarray, n
     return Index(vectors.astype(np.float32), full), vectors, uids, counts
 
 
-def links_of(index: Index, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int]]:
-    """(query numbers, node numbers) of verified links without a vector's link to itself (``own``:
-    its node, or -1), and what the last audit found, should have found, and its beam."""
-    n, q32 = len(vectors), queries.astype(np.float32)
-    floor = threshold - SLACK
-    sample = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
-    truth = int((q32[sample] @ index.vectors.T >= floor).sum())
-    while True:
-        ids, sims = index.search(q32, min(beam, n))
-        pairs = [np.nonzero(sims >= floor)]
-        # a beam full of links may have missed more
-        full = np.flatnonzero(sims[:, -1] >= floor) if ids.shape[1] < n else np.empty(0, int)
-        left, right = pairs[0][0], ids[pairs[0]]
-        wide = ids.shape[1]
-        while len(full):
-            keep = ~np.isin(left, full)
-            left, right = left[keep], right[keep]
-            wide *= 4
-            if wide >= n // 4:
-                rows = [(f, np.nonzero(index.vectors @ q32[f] >= floor)[0]) for f in full]
-                left = np.concatenate([left, *[np.full(len(r), f) for f, r in rows]])
-                right = np.concatenate([right, *[r for _, r in rows]])
+class Linked:
+    """What a task knows of its links: how many each query has, and which queries and nodes they
+    join, as labels of places: nodes first, then queries that are no node."""
+
+    def __init__(self, index: Index, vectors: np.ndarray, counts: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float) -> None:
+        self.index, self.vectors, self.counts, self.queries, self.own, self.threshold = index, vectors, counts, queries, own, threshold
+        self.q32, self.floor = queries.astype(np.float32), threshold - SLACK
+        self.total = np.zeros(len(queries), np.int64)
+        self.place = np.where(own >= 0, own, len(vectors) + np.arange(len(queries)))
+        self.label = np.arange(len(vectors) + len(queries))
+
+    def add(self, left: np.ndarray, right: np.ndarray, sims: np.ndarray) -> None:
+        """Count and join pairs (query, node) that may be links; those near the threshold are
+        computed again in double precision."""
+        apart = right != self.own[left]
+        left, right, sims = left[apart], right[apart], sims[apart]
+        close = np.flatnonzero(sims < self.threshold + SLACK)
+        good = np.ones(len(left), bool)
+        for a in range(0, len(close), 65536):
+            some = close[a : a + 65536]
+            good[some] = np.einsum("id,id->i", self.queries[left[some]], self.vectors[right[some]]) >= self.threshold
+        left, right = left[good], right[good]
+        self.total += np.bincount(left, self.counts[right], len(self.total)).astype(np.int64)
+        a, b, label = self.place[left], right, self.label
+        while True:
+            x, y = label[a], label[b]
+            new = x != y
+            if not new.any():
                 break
-            more, near = index.search(q32[full], wide, block=256)
-            at = np.nonzero(near >= floor)
-            left, right = np.concatenate([left, full[at[0]]]), np.concatenate([right, more[at]])
-            full = full[near[:, -1] >= floor]
-        found = int(np.isin(left, sample).sum())
-        if found >= RECALL * truth or beam >= n:
-            break
-        beam *= 2
-    left, right = left.astype(np.int64), right.astype(np.int64)
-    apart = right != own[left]
-    left, right = left[apart], right[apart]
-    exact = np.concatenate([np.einsum("id,id->i", queries[left[a : a + 65536]], vectors[right[a : a + 65536]]) for a in range(0, len(left), 65536)] or [np.empty(0)])
-    return left[exact >= threshold], right[exact >= threshold], (found, truth, beam)
-
-
-def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges with the same connected parts as the links between ids left and right."""
-    nodes, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    a, b = at[: len(left)], at[len(left) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
+            a, b, x, y = a[new], b[new], x[new], y[new]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label = label[label]
+        self.label = label
+
+    def scan(self, rows: np.ndarray) -> None:
+        """Add all links of some queries."""
+        for a in range(0, len(rows), SCANNED):
+            some = rows[a : a + SCANNED]
+            sims = self.q32[some] @ self.index.vectors.T
+            at = np.nonzero(sims >= self.floor)
+            self.add(some[at[0]], at[1], sims[at])
+
+    def audit(self, beam: int, sample: np.ndarray) -> tuple[int, float]:
+        """(sampled queries that have a link, mean share of their links that the beam finds)."""
+        ids, near = self.index.search(self.q32[sample], min(beam, len(self.vectors)))
+        shares = []
+        for k in range(0, len(sample), SCANNED):
+            part = sample[k : k + SCANNED]
+            truth = self.q32[part] @ self.index.vectors.T >= self.floor
+            mine = self.own[part]
+            truth[np.flatnonzero(mine >= 0), mine[mine >= 0]] = False
+            found = (near[k : k + SCANNED] >= self.floor) & (ids[k : k + SCANNED] != mine[:, None])
+            wide = near[k : k + SCANNED, -1] >= self.floor  # scanned in full
+            every = truth.sum(1)
+            shares.append(np.where(wide, 1.0, found.sum(1) / np.maximum(every, 1))[every > 0])
+        shares = np.concatenate(shares) if shares else np.empty(0)
+        return len(shares), float(np.minimum(shares, 1.0).mean()) if len(shares) else 1.0
+
+    def search(self, beam: int = BEAM) -> tuple[int, float, int]:
+        """Add the links of all queries; (audited queries with a link, their mean recall, beam)."""
+        n = len(self.vectors)
+        sample = np.linspace(0, len(self.queries) - 1, min(AUDIT, len(self.queries))).astype(int)
+        linked, recall = self.audit(beam, sample)
+        while recall < RECALL and beam < n:
+            beam *= 2
+            linked, recall = self.audit(beam, sample)
+        if beam >= n:
+            self.scan(np.arange(len(self.queries)))
+            return linked, 1.0, n
+        for a in range(0, len(self.queries), SEARCHED):
+            ids, sims = self.index.search(self.q32[a : a + SEARCHED], beam)
+            full = sims[:, -1] >= self.floor  # may have missed more
+            at = np.nonzero((sims >= self.floor) & ~full[:, None])
+            self.add(a + at[0], ids[at].astype(np.int64), sims[at])
+            self.scan(a + np.flatnonzero(full))
+        return linked, recall, beam
 
 
 def _search(threshold: float):
@@ -161,17 +190,18 @@ def _search(threshold: float):
         order = np.argsort(uids)
         at = np.minimum(np.searchsorted(uids[order], names), len(uids) - 1)
         own = np.where(uids[order][at] == names, order[at], -1)
-        left, right, (found, truth, beam) = links_of(index, vectors, queries, own, threshold)
-        total = np.zeros(len(names), np.int64)
-        np.add.at(total, left, counts[right])
-        some = np.flatnonzero(total)
-        u, v = forest(names[left], uids[right])
+        linked = Linked(index, vectors, counts, queries, own, threshold)
+        audited, recall, beam = linked.search()
+        some = np.flatnonzero(linked.total)
+        every = np.concatenate([uids, np.where(own >= 0, -1, names)])
+        moved = np.flatnonzero(linked.label != np.arange(len(every)))
+        u, v = every[moved], every[linked.label[moved]]
         return pa.table(
             {
                 "kind": pa.array(np.concatenate([np.full(len(some), LINKS), np.full(len(u), EDGE), [AUDITED]]), pa.int32()),
-                "u": pa.array(np.concatenate([names[some], u, [found]]).astype(np.int64)),
-                "v": pa.array(np.concatenate([names[some], v, [truth]]).astype(np.int64)),
-                "n": pa.array(np.concatenate([total[some], np.zeros(len(u)), [beam]]).astype(np.int64)),
+                "u": pa.array(np.concatenate([names[some], u, [audited]]).astype(np.int64)),
+                "v": pa.array(np.concatenate([names[some], v, [round(audited * recall / MILLIONTH)]]).astype(np.int64)),
+                "n": pa.array(np.concatenate([linked.total[some], np.zeros(len(u)), [beam]]).astype(np.int64)),
             }
         )
 
@@ -194,7 +224,7 @@ def near_duplicates(
     kept only if its component has no id at all; an empty table gives an empty result; other
     columns are not read. A task's memory is bounded by ``shard_rows`` and BLOCK_ROWS.
     """
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = vectors.select(named(vec_id).cast("bigint").alias("vec_id"), named(vector).cast("array<double>").alias("vector"))
     good = rows.filter(usable(F.col("vector")))
     classes = good.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.withColumn("uid", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "vectors")
@@ -208,12 +238,15 @@ def near_duplicates(
     keys = ("dim", "shard", "block")
     found = asked.select(*keys, "uid", "vector").groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_search(threshold), _FOUND)
     found = materialize(found, "vector-links")
+    audits = found.filter(F.col("kind") == AUDITED).agg(F.sum("u").alias("n"), F.sum("v").alias("found")).first()
+    if audits["n"] and audits["found"] * MILLIONTH < LEAST_RECALL * audits["n"]:
+        raise RuntimeError(f"mean recall of the audited vectors is {audits['found'] * MILLIONTH / audits['n']:.3f}")
     linked = found.filter(F.col("kind") == LINKS).groupBy(F.col("u").alias("_u")).agg(F.sum("n").alias("_links"))
     parts = components(found.filter(F.col("kind") == EDGE).select("u", "v"))
-    named = classes.join(parts, F.col("uid") == F.col("node"), "left").withColumn("part", F.coalesce("component", "uid"))
-    named = materialize(named.select("uid", "vector", "first", "n", "part"), "vector-parts")
-    least = named.groupBy(F.col("part").alias("_part")).agg(F.min("first").alias("least"))
-    known = named.join(linked, F.col("uid") == F.col("_u"), "left").join(least, F.col("part") == F.col("_part"))
+    grouped = classes.join(parts, F.col("uid") == F.col("node"), "left").withColumn("part", F.coalesce("component", "uid"))
+    grouped = materialize(grouped.select("uid", "vector", "first", "n", "part"), "vector-parts")
+    least = grouped.groupBy(F.col("part").alias("_part")).agg(F.min("first").alias("least"))
+    known = grouped.join(linked, F.col("uid") == F.col("_u"), "left").join(least, F.col("part") == F.col("_part"))
     known = known.select(F.col("vector").alias("_vector"), (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("_n"), "least")
     out = rows.join(known, F.col("vector") == F.col("_vector"), "left")
     component = F.when(F.col("_n").isNull(), F.col("vec_id")).otherwise(F.col("least"))

@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweft.llm.columns import ROW, fields, named, row_of
 from roadweft.session import materialize
 
 SHINGLE = 5
 FRACTION = 0.25
 BLANKS = r"[\x09-\x0D\x20]+"
+#: Text that a task of the ordered pass reads, about.
+RANGE_BYTES = 64 << 20
 
 
 def word_hashes(text: Column) -> Column:
@@ -73,56 +76,67 @@ def sketch_of(text: Column, shingle: int = SHINGLE, fraction: float = FRACTION)
 
 
 def with_sketch(docs: DataFrame, text: str, to: str, shingle: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
-    """Adds column ``to``. Each step is a projection of its own, so no expression runs twice."""
-    step = docs.withColumn("_h", word_hashes(F.coalesce(F.col(text), F.lit(""))))
-    step = step.withColumn("_h", shingle_hashes(F.col("_h"), shingle))
-    return step.withColumn(to, scaled(F.col("_h"), fraction)).drop("_h")
+    """Adds column ``to``, the sketch of column ``text``; a column of that name is replaced, others
+    may have any name and are unchanged. Each step is a projection of its own, so no expression runs
+    twice.
 
+    Defined cases: null and empty texts have an empty sketch, short ones one hash; long texts are
+    read whole; equal texts have equal sketches; an empty table gives an empty result."""
+    step = docs.select(row_of(docs), word_hashes(F.coalesce(named(text), F.lit(""))).alias("hashes"))
+    step = step.select(ROW, shingle_hashes(F.col("hashes"), shingle).alias("hashes"))
+    return step.select(*fields(docs, to), scaled(F.col("hashes"), fraction).alias(to))
 
-def with_next(docs: DataFrame, key: str, columns: list[str], per_partition: int = 8, quantiles: int = 256) -> DataFrame:
+
+def with_next(docs: DataFrame, key: str, text: str, columns: list[str], per_partition: int = 8, quantiles: int = 256) -> DataFrame:
     """Adds _next_<column>: values of the next row in ascending ``key``, after the last the first.
 
     Rows are dealt to ranges of the key (quantiles, each cut into even slices) and ordered within
     each; a range's first row also goes to the range before, as its sentinel. The wide rows are
-    shuffled once and never sorted as a whole. There are ``per_partition`` x shuffle partitions
-    ranges, whose bounds are one small table. Null keys come first; ties fall by the columns.
+    shuffled once and never sorted as a whole. Null keys come first; rows of one key follow each
+    other by a hash of ``text``, and a key that spans several quantiles is cut by that hash, so
+    that no key is one range. There are ``per_partition`` ranges a partition, and a partition per
+    RANGE_BYTES of text, or as many as the session shuffles to, if those are more. Rows equal in key
+    and text share a range.
     """
     spark = docs.sparkSession
-    keys = materialize(docs.select(F.col(key).cast("bigint").alias("_key")), "range-keys")
-    ranges = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = keys.agg(F.percentile_approx("_key", [i / quantiles for i in range(quantiles + 1)], 100 * quantiles)).first()[0]
-    k = F.coalesce(F.col("_key"), F.lit(-(1 << 63)))
-    if cuts:
-        bounds = sorted(set(cuts))
-        array = F.lit(bounds) if len(bounds) > 1 else F.array(F.lit(bounds[0]))
-        slices = max(1, ranges // len(bounds))
-        part = F.size(F.filter(F.col("_cuts"), lambda c: c <= k))
-        low, high = F.get(F.col("_cuts"), F.col("_part") - 1), F.get(F.col("_cuts"), F.col("_part"))
-        slice_ = F.floor((k - low) / (high - low) * slices)
-        bucket = F.col("_part") * slices + F.coalesce(F.least(slice_, F.lit(slices - 1)), F.lit(0))
-        dealt = lambda df: df.withColumn("_cuts", array).withColumn("_part", part).withColumn("_b", bucket.cast("bigint")).drop("_cuts", "_part")
-    else:
-        dealt = lambda df: df.withColumn("_b", F.lit(0).cast("bigint"))
-    firsts = dealt(keys).groupBy("_b").agg(F.min(F.struct(F.col("_key").isNotNull(), "_key")).alias("_m"))
-    everything = Window.orderBy("_b")
+    tie = F.shiftrightunsigned(F.xxhash64(named(text)), 1)
+    own = docs.select(*[named(c) for c in docs.columns], named(key).cast("bigint").alias("_key"), tie.alias("_tie"))
+    keys = materialize(own.select("_key", "_tie", F.octet_length(named(text)).alias("_size")), "range-keys")
+    points = F.percentile_approx("_key", [i / quantiles for i in range(quantiles + 1)], 100 * quantiles)
+    found = keys.agg(points.alias("cuts"), F.sum("_size").alias("size"), F.avg(F.col("_key").isNull().cast("double")).alias("none")).first()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(found["size"] or 0) // RANGE_BYTES))
+    cuts = found["cuts"] or []
+    bounds = sorted(set(cuts))
+    slices = max(1, per_partition * partitions // max(1, len(cuts)))
+    # ranges of rows that have a bound itself as their key, in slices; the first are of null keys
+    spans = [max(1, round((found["none"] or 0) * quantiles)), *[cuts.count(b) for b in bounds]]
+    literal = lambda values: F.lit(values).cast("array<bigint>") if len(values) > 1 else F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
+    part = F.size(F.filter(F.col("_cuts"), lambda c: c <= F.col("_key")))
+    low, high, span = F.get("_cuts", F.col("_part") - 1), F.get("_cuts", F.col("_part")), F.get("_spans", F.col("_part"))
+    even = F.least(F.floor((F.col("_key") - low) / (high - low) * slices), F.lit(slices - 1))
+    cut = F.floor(F.col("_tie") / float(1 << 63) * span * slices)
+    within = F.when(F.col("_key").isNull() | (F.col("_key") == low), F.least(cut, span * slices - 1)).otherwise(span * slices + F.coalesce(even, F.lit(0)))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        marked = df.withColumn("_cuts", literal(bounds)).withColumn("_spans", literal(spans))
+        marked = marked.withColumn("_part", F.when(F.col("_key").isNull(), 0).otherwise(part))
+        return marked.withColumn("_b", (F.col("_part") * (1 << 40) + within).cast("bigint")).drop("_cuts", "_spans", "_part")
+
+    firsts = dealt(keys).groupBy("_b").agg(F.min(F.struct(F.col("_key").isNotNull(), "_key", "_tie")).alias("_m"))
+    everything = Window.orderBy("_b")  # one row a range
     whole = everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = materialize(
-        firsts.select(
-            F.col("_b").alias("_first_b"),
-            F.col("_m._key").alias("_first_key"),
-            F.coalesce(F.lag("_b").over(everything), F.max("_b").over(whole)).alias("_before"),
-        ),
-        "range-firsts",
-    )
-    base = dealt(docs.withColumn("_key", F.col(key).cast("bigint")))
-    is_first = (F.col("_b") == F.col("_first_b")) & F.col("_key").eqNullSafe(F.col("_first_key"))
-    base = base.join(F.broadcast(firsts), is_first, "left")
-    own = F.struct(F.col("_b").alias("b"), F.lit(False).alias("sentinel"))
+    before = F.coalesce(F.lag("_b").over(everything), F.max("_b").over(whole))
+    firsts = materialize(firsts.select(F.col("_b").alias("_first_b"), F.col("_m._key").alias("_first_key"), F.col("_m._tie").alias("_first_tie"), before.alias("_before")), "range-firsts")
+    is_first = (F.col("_b") == F.col("_first_b")) & F.col("_key").eqNullSafe(F.col("_first_key")) & (F.col("_tie") == F.col("_first_tie"))
+    # a written table: Spark broadcasts it if it is below its threshold
+    base = dealt(own).join(firsts, is_first, "left")
+    stays = F.struct(F.col("_b").alias("b"), F.lit(False).alias("sentinel"))
     also = F.struct(F.col("_before").alias("b"), F.lit(True).alias("sentinel"))
-    base = base.withColumn("_at", F.explode(F.when(F.col("_first_b").isNull(), F.array(own)).otherwise(F.array(own, also))))
-    order = Window.partitionBy("_at.b").orderBy("_at.sentinel", F.col("_key").asc_nulls_first(), *[F.col(f"`{c}`") for c in columns])
-    led = base.select(*[F.col(f"`{c}`") for c in docs.columns], "_at", *[F.lead(F.col(f"`{c}`")).over(order).alias(f"_next_{c}") for c in columns])
-    return led.filter(~F.col("_at.sentinel")).drop("_at")
+    base = base.withColumn("_at", F.explode(F.when(F.col("_first_b").isNull(), F.array(stays)).otherwise(F.array(stays, also))))
+    base = base.select(*[named(c) for c in docs.columns], "_key", "_tie", F.col("_at.b").alias("_b"), F.col("_at.sentinel").alias("_sentinel")).repartition(partitions, "_b")
+    order = Window.partitionBy("_b").orderBy("_sentinel", F.col("_key").asc_nulls_first(), "_tie", *[named(c) for c in columns])
+    led = base.select(*[named(c) for c in docs.columns], "_sentinel", *[F.lead(named(c)).over(order).alias(f"_next_{c}") for c in columns])
+    return led.filter(~F.col("_sentinel")).drop("_sentinel")
 
 
 def fingerprint_edits(
@@ -140,12 +154,12 @@ def fingerprint_edits(
     contained_edited, contained_next (share of this sketch found in the other).
 
     Defined cases: null text counts as empty; an empty text has an empty fingerprint, and two
-    empty ones are alike; rows that share an id follow each other by text; null ids come first; a
-    single document is its own next one; an empty table gives an empty result; other columns of
-    ``docs`` are not read.
+    empty ones are alike; rows that share an id follow each other by a hash of their text; null ids
+    come first; long texts are read whole; a single document is its own next one; an empty table
+    gives an empty result; other columns of ``docs`` are not read.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    led = with_next(with_sketch(slim, "text", "sketch", shingle, fraction), "doc_id", ["text", "sketch"])
+    slim = docs.select(named(doc_id).alias("doc_id"), F.coalesce(named(text), F.lit("")).alias("text"))
+    led = with_next(with_sketch(slim, "text", "sketch", shingle, fraction), "doc_id", "text", ["text", "sketch"])
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("_next_text"), F.lit(1), cut))

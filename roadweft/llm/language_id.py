@@ -2,9 +2,10 @@
 
 Each language has a codeword; one binary classifier per bit, linear in hashed byte trigrams of the
 lower-cased letters, predicts that bit. The losses of all bits, each weighted by how well its
-classifier does on the learning rows, are summed per codeword; the smallest sum decides, and a
-close second is flagged as ambiguous. Learning uses a bounded sample per language, predictions
-read every whole text.
+classifier does on texts that it didn't learn from, are summed per codeword; the smallest sum
+decides, and a close second is flagged as ambiguous. A text that fits no codeword better than
+chance is flagged as strange. Learning uses a bounded sample per language, predictions read every
+whole text.
 """
 
 from __future__ import annotations
@@ -15,19 +16,27 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweft.llm.arrow import bounded, relax
+from roadweft.llm.columns import ROW, fields, named, row_of
 from roadweft.session import materialize
 
-#: Rows learnt from per language, about.
+#: Distinct texts learnt from per language, at most.
 SAMPLE = 1_500
+#: Of these every fourth only weighs the bits; then all are learnt from.
+WEIGHING = 4
+#: Learned languages; the model has 32768 numbers per bit.
+MAX_LANGUAGES = 512
 BUCKETS = 1 << 15
 BITS = 15
 SMOOTH = 0.5
 MARGIN = 0.1
 SCALE = 4.0
+#: A text is strange if its best codeword's loss is at least this share of the loss of no evidence:
+#: at sf0.1 the documents' largest share is 0.70 (one of 3 letters), other scripts have 0.85 or more.
+CHANCE = 0.8
 UNKNOWN = "und"
 CHUNK = 1 << 18
 
@@ -97,16 +106,17 @@ class Model:
             first = last
         return out
 
-    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language numbers, scores 0..1, ambiguous)."""
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(language numbers, scores 0..1, ambiguous, loss as a share of the loss of no evidence)."""
         if len(self.languages) == 1:
-            return np.zeros(len(texts), int), np.ones(len(texts)), np.zeros(len(texts), bool)
+            return np.zeros(len(texts), int), np.ones(len(texts)), np.zeros(len(texts), bool), np.zeros(len(texts))
         m = self.margins(texts)
         losses = np.logaddexp(0.0, -SCALE * m[:, None, :] * self.code[None]) @ self.weights
         weigh = np.exp(losses.min(1, keepdims=True) - losses)
         chance = weigh / weigh.sum(1, keepdims=True)
         order = np.sort(chance, axis=1)
-        return losses.argmin(1), chance.max(1), order[:, -1] - order[:, -2] < self.margin
+        share = losses.min(1) / (np.log(2.0) * self.weights.sum())
+        return losses.argmin(1), chance.max(1), order[:, -1] - order[:, -2] < self.margin, share
 
 
 def held_out(doc_id: Column) -> Column:
@@ -114,96 +124,131 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, seed: int = 3) -> Model | None:
-    """A model from labelled rows; None if there are none. About ``sample`` rows per language are
-    drawn by a hash of their text, so the driver's counts are bounded by buckets x languages."""
-    bounded(rows.sparkSession)
-    known = rows.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return None
+def drawn_texts(rows: DataFrame, text: str, lang: str, sample: int, seed: int) -> tuple[list[str], DataFrame]:
+    """(languages, (k, place, text)): at most ``sample`` distinct texts per language, those of
+    smallest hash; ``place`` numbers them from 0. Copies of a text count as one, so neither the
+    bound nor a language depends on them."""
+    known = rows.filter(named(lang).isNotNull() & named(text).rlike(r"\p{L}")).select(named(text).cast("string").alias("text"), named(lang).cast("string").alias("lang"))
+    known = known.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "text"), 1))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
-    share = F.lit(0.0)
-    for k, name in enumerate(languages):
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, sample / sizes[name]))).otherwise(share)
-    number = F.lit(-1)
+    number, below = F.lit(-1), F.lit(0.0)
     for k, name in enumerate(languages):
         number = F.when(F.col("lang") == name, F.lit(k)).otherwise(number)
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) < share * float(1 << 20))
-    drawn = materialize(drawn.select("text", number.alias("k")), "languages")
+        # twice as many as are wanted, since sizes are estimates
+        below = F.when(F.col("lang") == name, F.lit(min(1.0, 2 * sample / max(1, sizes[name])))).otherwise(below)
+    few = known.filter(F.col("h") <= below * float(1 << 63)).select(number.alias("k"), "h", "text").dropDuplicates(["k", "h"])
+    place = F.row_number().over(Window.partitionBy("k").orderBy("h")) - 1
+    return languages, materialize(few.withColumn("place", place).filter(F.col("place") < sample).select("k", "place", "text"), "languages")
+
+
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, seed: int = 3) -> Model | None:
+    """A model from labelled rows; None if there are none. It learns from `drawn_texts`; bits are
+    weighted by a first model, learnt without every WEIGHING-th text, on those texts. The driver
+    holds counts of buckets x languages."""
+    bounded(rows.sparkSession)
+    languages, drawn = drawn_texts(rows, text, lang, sample, seed)
+    if not languages:
+        return None
+    drawn = drawn.select("k", "text", (F.col("place") % WEIGHING == WEIGHING - 1).alias("weighs"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {}
+        total: dict[tuple[int, bool], np.ndarray] = {}
         for batch in batches:
-            for t, k in zip(batch.column("text").to_pylist(), batch.column("k").to_pylist()):
+            for t, k, w in zip(batch.column("text").to_pylist(), batch.column("k").to_pylist(), batch.column("weighs").to_pylist()):
                 keys, _ = grams([t])
                 # a long text counts no more than others
-                total[k] = total.get(k, 0) + np.bincount(keys, minlength=BUCKETS) / len(keys)
-        for k, c in total.items():
+                total[k, w] = total.get((k, w), 0) + np.bincount(keys, minlength=BUCKETS) / len(keys)
+        for (k, w), c in total.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k), pa.int32()), "g": pa.array(at, pa.int32()), "c": pa.array(c[at], pa.float64())})
-
-    counts = np.zeros((len(languages), BUCKETS))
-    for k, g, c in drawn.mapInArrow(count, "k int, g int, c double").groupBy("k", "g").agg(F.sum("c").alias("c")).toPandas().itertuples(index=False):
-        counts[k, g] = c
-    used = max(1, int((counts.sum(0) > 0).sum()))
-    mean = counts.sum() / used / len(languages)
-    chance = counts + SMOOTH * mean
-    chance /= chance.sum(1, keepdims=True)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k), pa.int32()), "w": pa.array(np.full(len(at), int(w)), pa.int32()), "g": pa.array(at, pa.int32()), "c": pa.array(c[at], pa.float64())})
+
+    counts = np.zeros((2, len(languages), BUCKETS))
+    for k, w, g, c in drawn.mapInArrow(count, "k int, w int, g int, c double").groupBy("k", "w", "g").agg(F.sum("c").alias("c")).toPandas().itertuples(index=False):
+        counts[w, k, g] = c
     code = codewords(len(languages))
-    odds = np.zeros((BUCKETS, code.shape[1]), dtype=np.float32)
-    for b in range(code.shape[1]):
-        if len(languages) > 1:
-            odds[:, b] = np.log(chance[code[:, b] > 0].mean(0)) - np.log(chance[code[:, b] < 0].mean(0))
-    model = Model(languages, code, odds, np.ones(code.shape[1]))
+    bits = code.shape[1]
+
+    def learned(seen: np.ndarray, weights: np.ndarray) -> Model:
+        used = max(1, int((seen.sum(0) > 0).sum()))
+        chance = seen + SMOOTH * seen.sum() / used / len(languages)
+        chance /= chance.sum(1, keepdims=True)
+        odds = np.zeros((BUCKETS, bits), dtype=np.float32)
+        for b in range(bits):
+            if len(languages) > 1:
+                odds[:, b] = np.log(chance[code[:, b] > 0].mean(0)) - np.log(chance[code[:, b] < 0].mean(0))
+        return Model(languages, code, odds, weights)
+
+    first = learned(counts[0], np.ones(bits))
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.column("k").to_numpy()
-            good = (np.sign(model.margins(batch.column("text").to_pylist())) == model.code[k]).sum(0)
+            good = (np.sign(first.margins(batch.column("text").to_pylist())) == first.code[k]).sum(0)
             yield pa.RecordBatch.from_pydict({"n": [len(k)], "good": [good.tolist()]})
 
-    tested = drawn.mapInArrow(right, "n bigint, good array<bigint>")
-    bits = code.shape[1]
+    tested = drawn.filter("weighs").mapInArrow(right, "n bigint, good array<bigint>")
     sums = tested.agg(F.sum("n").alias("n"), *[F.sum(F.col("good")[b]).alias(f"b{b}") for b in range(bits)]).first()
-    rate = np.array([(sums[f"b{b}"] + 1) / (sums["n"] + 2) for b in range(bits)])
+    rate = np.array([((sums[f"b{b}"] or 0) + 1) / ((sums["n"] or 0) + 2) for b in range(bits)])
     # AdaBoost's weight of a classifier with this rate of right answers, at least a little
     weights = np.maximum(0.05, 0.5 * np.log(rate / (1 - rate)))
-    return Model(languages, code, odds, weights / weights.sum() * bits)
+    return learned(counts.sum(0), weights / weights.sum() * bits)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and ambiguous.
+GUESS = "lang_pred string, score double, ambiguous boolean, strange boolean"
+_NAMES = [f.split()[0] for f in GUESS.split(", ")]
 
-    Defined cases: a text that is null or has no letter is `und` with score 0, as is every text
-    without a model; ties fall to the first language; columns of these names are replaced.
-    """
+
+def _guessed(docs: DataFrame, model: Model | None, text: str) -> DataFrame:
+    """ROW and GUESS of every row. Only the row goes to Python, its text read from it."""
     bounded(docs.sparkSession)
-    base = docs.drop("lang_pred", "score", "ambiguous")
-    schema = base.schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    lettered = base.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    marked = docs.select(row_of(docs), F.coalesce(named(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    schema = marked.select(ROW).schema
+    for name in GUESS.split(", "):
+        schema = schema.add(*name.split())
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            n = batch.num_rows
-            use = batch.column("_letters").to_numpy(zero_copy_only=False) & (known is not None)
-            names, scores, close = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.ones(n, bool)
+            n, rows = batch.num_rows, batch.column(0)
+            use = batch.column(1).to_numpy(zero_copy_only=False) & (known is not None)
+            names, scores, close, strange = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.ones(n, bool), np.ones(n, bool)
             if use.any():
-                at, score, near = known.predict(batch.column(text).filter(pa.array(use)).to_pylist())
-                names[use], scores[use], close[use] = np.array(known.languages, dtype=object)[at], score, near
-            out = batch.drop_columns(["_letters"])
-            for name, column in (("lang_pred", pa.array(names, pa.string())), ("score", pa.array(scores)), ("ambiguous", pa.array(close))):
-                out = out.append_column(name, column)
-            yield out
+                at, score, near, share = known.predict(rows.field(place).filter(pa.array(use)).to_pylist())
+                names[use], scores[use], close[use], strange[use] = np.array(known.languages, dtype=object)[at], score, near, share >= CHANCE
+            yield pa.RecordBatch.from_arrays([rows, pa.array(names, pa.string()), pa.array(scores), pa.array(close), pa.array(strange)], [ROW, *_NAMES])
         relax()
 
-    return lettered.mapInArrow(guess, schema)
+    return marked.mapInArrow(guess, schema)
+
 
+def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score (0 to 1), ambiguous and strange.
+
+    Defined cases: a text that is null or has no letter is `und` with score 0, ambiguous and
+    strange, as is every text without a model; ties fall to the first language; long texts are
+    read whole, in parts; repeated rows are all returned; an empty table gives an empty result.
+    Columns of ``docs`` may have any name; those named as the new ones are replaced.
+    """
+    return _guessed(docs, model, text).select(*fields(docs, *_NAMES), *_NAMES)
 
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with held_out, lang_pred, score and ambiguous; learns only from rows not held out.
-    The label, the id and other columns are no inputs of a prediction."""
-    marked = docs.withColumn("held_out", held_out(F.col(doc_id)))
-    return predict(marked, fit(marked.filter(~F.col("held_out") & F.col(doc_id).isNotNull()), text, lang, sample), text)
+
+def identify(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, into: str | None = None
+) -> DataFrame:
+    """``docs`` with held_out, lang_pred, score, ambiguous and strange, as columns or as one struct
+    named ``into``. Learns only from rows with an id and a label that are not held out. The label,
+    the id and other columns are no inputs of a prediction.
+
+    Defined cases as in `predict`; a row without an id is not held out; without any label to learn
+    from every text is `und`. Columns named as the new ones are replaced, with ``into`` only that.
+    """
+    held = held_out(named(doc_id))
+    found = _guessed(docs, fit(docs.filter(~held & named(doc_id).isNotNull()), text, lang, sample), text)
+    new = [held_out(F.col(ROW).getField(doc_id)).alias("held_out"), *map(F.col, _NAMES)]
+    if into is not None:
+        return found.select(*fields(docs, into), F.struct(*new).alias(into))
+    return found.select(*fields(docs, "held_out", *_NAMES), *new)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadweft.llm.columns import ROW, field, named, row_of
 from roadweft.session import materialize
 
 #: In the gap between the lines of copied pages (0.048 of a source's pages at most at sf0.1) and the
@@ -34,19 +35,19 @@ def _hashes(lines: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: str, text: str, max_ratio: float, min_pages: int) -> DataFrame:
-    """One row per host that has boilerplate: _host, _bad (hashes of its lines)."""
-    pages = docs.select(F.col(host).alias("_host"), _lines(F.col(text)).alias("_l"))
+    """One row per host that has boilerplate: of, bad (hashes of its lines)."""
+    pages = docs.select(named(host).alias("host"), _lines(named(text)).alias("lines"))
     seen = pages.select(
-        "_host",
-        F.explode(F.array_distinct(_hashes(F.filter("_l", lambda line: F.trim(line) != "")))).alias("_h"),
+        "host",
+        F.explode(F.array_distinct(_hashes(F.filter("lines", lambda line: F.trim(line) != "")))).alias("line"),
     )
-    counts = seen.groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= min_pages)
-    totals = pages.groupBy(F.col("_host").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("on")).filter(F.col("on") >= min_pages)
+    totals = pages.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("pages"))
     return (
-        counts.join(totals, F.col("_host").eqNullSafe(F.col("_of")))
-        .filter(F.col("_c") > F.col("_n") * F.lit(float(max_ratio)))
-        .groupBy("_host")
-        .agg(F.sort_array(F.collect_list("_h")).alias("_bad"))
+        counts.join(totals, F.col("host").eqNullSafe(F.col("of")))
+        .filter(F.col("on") > F.col("pages") * F.lit(float(max_ratio)))
+        .groupBy(F.col("host").alias("of"))
+        .agg(F.sort_array(F.collect_list("line")).alias("bad"))
     )
 
 
@@ -56,29 +57,28 @@ def drop_boilerplate(
     text: str = "text",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    counts: bool = True,
 ) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cleaned, plus n_lines and n_dropped (bigint).
+    """All columns of ``docs`` with ``text`` cleaned, plus n_lines and n_dropped (bigint) if ``counts``.
 
     A line is dropped if it stands on more than ``max_ratio`` of the pages of its host and on at
     least ``min_pages`` of them (a host of one page would otherwise lose every line). Repeats
     within a page count once towards the ratio; all of them are dropped. Lines of blanks are never
-    dropped. Defined cases: null text stays null with 0 lines; empty text has one blank line; null
-    hosts form one host of their own; repeated rows count as pages of their own; an empty table
-    gives an empty result. Columns of ``docs`` named n_lines or n_dropped are replaced; names that
-    start with ``_`` are reserved.
+    dropped. Lines are compared by 64-bit hashes with the few boilerplate lines of their host.
+
+    Defined cases: null text stays null with 0 lines; empty text has one blank line; null hosts
+    form one host of their own; repeated rows count as pages of their own; a line that stands on
+    exactly the ratio stays; an empty table gives an empty result. Other columns may have any name
+    and are unchanged; with ``counts`` those named n_lines or n_dropped are replaced.
     """
     bad = materialize(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    split = docs.withColumn("_l", _lines(F.col(text)))
-    joined = split.join(bad, F.col(host).eqNullSafe(F.col("_host")), "left")
-    keep = F.when(F.col("_bad").isNull(), F.col("_l")).otherwise(
-        F.filter("_l", lambda line: (F.trim(line) == "") | ~F.array_contains("_bad", F.xxhash64(line)))
+    split = docs.select(row_of(docs), named(host).alias("host"), _lines(named(text)).alias("lines"))
+    joined = split.join(bad, F.col("host").eqNullSafe(F.col("of")), "left")
+    keep = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(
+        F.filter("lines", lambda line: (F.trim(line) == "") | ~F.array_contains("bad", F.xxhash64(line)))
     )
-    kept = joined.withColumn("_k", keep)
+    kept = joined.select(ROW, "lines", keep.alias("kept"))
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("bigint")
-    return kept.select(
-        *others,
-        F.array_join("_k", "\n").alias(text),
-        size("_l").alias("n_lines"),
-        (size("_l") - size("_k")).alias("n_dropped"),
-    )
+    more = {"n_lines": size("lines"), "n_dropped": size("lines") - size("kept")} if counts else {}
+    own = [F.array_join("kept", "\n").alias(c) if c == text else field(c) for c in docs.columns if c not in more]
+    return kept.select(*own, *[c.alias(name) for name, c in more.items()])

@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadweft.llm.columns import ROW, fields, named, row_of
 from roadweft.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -24,6 +26,7 @@ MAX_EPOCHS = 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 SORT_ROWS = 2_000
+MAX_SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
@@ -51,8 +54,13 @@ def targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
     return out
 
 
-def _per_source(spark, values: dict, schema: str) -> DataFrame:
-    return spark.createDataFrame([(s, *v) for s, v in values.items()], schema).coalesce(1)
+def _per_source(spark: SparkSession, values: dict, schema: str) -> DataFrame:
+    """One row per source, as a local relation: Spark knows its size and broadcasts it only where it
+    is below its threshold."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64()}
+    fields = pa.schema([(n, kinds[f.split()[1]]) for n, f in zip(names, schema.split(", "))])
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, (s, *v))) for s, v in values.items()], schema=fields), schema)
 
 
 def choose(
@@ -78,15 +86,16 @@ def choose(
 
     Defined cases: null or blank text has size 0 and is never a fraction's document; null sources
     form one source that stands last; keys depend on id and text alone, so reruns agree and
-    repeated rows are taken or left together; an empty table gives an empty result. The driver
-    holds one row per source, whose number doesn't grow with the documents.
+    repeated rows are taken or left together; an empty table gives an empty result; columns may
+    have any name. The driver holds one row per source, of which there may be MAX_SOURCES: more are
+    an error, since weights are assigned source by source.
     """
     spark = docs.sparkSession
     slim = docs.select(
-        F.col(source).alias("_s"),
-        F.col(doc_id).alias("_id"),
-        words(F.col(text)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_d"),
+        named(source).alias("_s"),
+        named(doc_id).alias("_id"),
+        words(named(text)).alias("size"),
+        F.xxhash64(F.lit(seed), named(doc_id), named(text)).alias("_d"),
     )
     w = F.lit(1.0)
     if quality is not None:
@@ -98,7 +107,10 @@ def choose(
     # and makes buckets even
     u = (F.shiftrightunsigned("_d", 11).cast("double") + 1.0) / F.lit(float(1 << 53))
     slim = materialize(slim.select("_s", "_id", "size", (1.0 - F.exp(F.log(u) / w)).alias("_k"), "_d"), "mix-keys")
-    sizes = {r["_s"]: (r["n"] or 0, r["rows"]) for r in slim.groupBy("_s").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    sums = slim.groupBy("_s").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
+    sizes = {r["_s"]: (r["n"] or 0, r["rows"]) for r in sums.limit(MAX_SOURCES + 1).collect()}
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"over {MAX_SOURCES} sources")
     due = targets({s: n for s, (n, _) in sizes.items()}, weights, share, max_epochs)
     plan = {}
     for s, (n, rows) in sizes.items():
@@ -108,7 +120,7 @@ def choose(
     candidates = slim.filter("size > 0")
     while wide := {s: p for s, p in plan.items() if p["rows"] > sort_rows and p["rest"] > 0 and p["hi"] - p["lo"] > 1e-15}:
         edges = _per_source(spark, {s: (p["lo"], p["hi"], float(p["rest"])) for s, p in wide.items()}, "_of string, lo double, hi double, rest double")
-        inside = candidates.join(F.broadcast(edges), F.col("_s").eqNullSafe(F.col("_of"))).filter("_k >= lo AND _k < hi")
+        inside = candidates.join(edges, F.col("_s").eqNullSafe(F.col("_of"))).filter("_k >= lo AND _k < hi")
         bucket = F.least(F.floor((F.col("_k") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))
         sums = inside.groupBy("_s", "rest", bucket.alias("b")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
         before = F.sum("n").over(Window.partitionBy("_s").orderBy("b")) - F.col("n")
@@ -121,15 +133,16 @@ def choose(
             r, step = found[s], (p["hi"] - p["lo"]) / buckets
             lo = p["lo"] + r["b"] * step
             p |= {"lo": lo, "hi": lo + step if r["b"] < buckets - 1 else p["hi"], "rows": r["rows"], "rest": p["rest"] - r["before"]}
-    cuts = _per_source(spark, {s: (p["lo"], p["hi"], float(p["rest"]), p["epochs"], sizes[s][0], due[s]) for s, p in plan.items()}, "_of string, lo double, hi double, rest double, epochs int, source_size bigint, target double")
-    edge = candidates.join(F.broadcast(cuts), F.col("_s").eqNullSafe(F.col("_of"))).filter("_k >= lo AND _k < hi AND rest > 0")
-    upto = F.sum("size").over(Window.partitionBy("_s").orderBy("_k", "_id", "size", "_d").rowsBetween(Window.unboundedPreceding, 0))
+    cuts = _per_source(spark, {s: (p["lo"], p["hi"], float(p["rest"]), p["epochs"], sizes[s][0], due[s]) for s, p in plan.items()}, "_of string, lo double, hi double, rest double, epochs bigint, source_size bigint, target double")
+    edge = candidates.join(cuts, F.col("_s").eqNullSafe(F.col("_of"))).filter("_k >= lo AND _k < hi AND rest > 0")
+    # equal keys are equal digests, hence repeated rows: one sum per key, taken or left together
+    edge = edge.groupBy("_s", "rest", "_k").agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("_s").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
     last = edge.withColumn("upto", upto).filter("upto <= rest OR upto - rest <= rest - (upto - size)")
-    # the last key taken decides; equal keys are equal digests, hence repeated rows
     ends = {r["_s"]: r["k"] for r in last.groupBy("_s").agg(F.max("_k").alias("k")).collect()}
     final = {s: (float(p["epochs"]), ends.get(s, math.nextafter(p["lo"], -1.0)), sizes[s][0], float(due[s])) for s, p in plan.items()}
     marks = _per_source(spark, final, "_of string, _e double, _last double, source_size bigint, target double")
-    joined = slim.join(F.broadcast(marks), F.col("_s").eqNullSafe(F.col("_of")), "left")
+    joined = slim.join(marks, F.col("_s").eqNullSafe(F.col("_of")), "left")
     extra = F.when((F.col("size") > 0) & (F.col("_k") <= F.col("_last")), 1).otherwise(0)
     copies = F.least(F.col("_e").cast("bigint") + extra, F.lit(int(max_epochs))).cast("bigint")
     return joined.select(
@@ -146,10 +159,11 @@ def choose(
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", seed: int = 17, **options) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as ``choose`` takes it (0, 1 or more times),
-    with its own columns. Rows of size 0 follow their source's whole epochs."""
+    with its own columns, whatever their names. Rows of size 0 follow their source's whole epochs;
+    null ids and texts, repeated rows and an empty table are as in ``choose``."""
     taken = choose(docs, quality, text=text, doc_id=doc_id, seed=seed, **options)
-    taken = taken.filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).agg(F.max("copies").alias("_copies"))
-    keyed = docs.withColumn("_digest", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d"))
-    joined = keyed.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = taken.filter("copies > 0").groupBy(F.col("doc_id").alias("of"), F.col("digest").alias("its")).agg(F.max("copies").alias("copies"))
+    keyed = docs.select(row_of(docs), named(doc_id).alias("id"), F.xxhash64(F.lit(seed), named(doc_id), named(text)).alias("digest"))
+    # equal ids and digests are repeated rows
+    joined = keyed.join(taken, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("its")))
+    return joined.select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*fields(docs))

@@ -11,8 +11,9 @@ No bucket is ever expanded into pairs. First every text is held against the like
 leaders of its buckets, and what is linked is merged. Buckets in which several groups remain are
 compared inside a task, block by block, between texts of different groups only: in a second round
 every text is held against the few likeliest that it meets, and in a third, after another merge,
-whatever groups are still apart are compared in full. Pairs whose 128 minima can't belong to a
-similar pair go no further.
+whatever groups are still apart are compared in full. A bucket too large for that is divided by
+further minima, so its cost stays in proportion to its texts. Pairs whose 128 minima can't belong
+to a similar pair go no further.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweft.llm.arrow import bounded, relax
-from roadweft.operators.components import Union, components
+from roadweft.llm.columns import ROW, fields, named, row_of
 from roadweft.llm.fingerprints import BLANKS
 from roadweft.llm.tokens import slices
+from roadweft.operators.components import Union, components
 from roadweft.session import materialize
 
 SHINGLE = 5
@@ -46,6 +48,10 @@ LEADERS = 4
 LIKELIEST = 4
 BLOCK = 2048
 GROUP_ROWS = 50_000
+#: A bucket of more blocks than a text has pieces is divided by pieces of SUB_TAKEN minima, which no
+#: bucket's key uses. A pair of likeness 0.8 shares none of them about once in 4e10.
+SUB_START, SUB_PIECES, SUB_TAKEN, SUB_LEVELS = 16, 24, 2, 2
+DIVIDE = SUB_PIECES
 SLICE_CHARS = 2_000_000
 
 _MASK = (1 << 64) - 1
@@ -187,16 +193,12 @@ def _aligned(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return materialize(both.select("u", "v", "left", "right").mapInArrow(_verify(threshold), "u bigint, v bigint"), "similar")
 
 
-def _shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (left == right).sum(-1)
-
-
 def _compare(least: int, ratio: float):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             minima = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, MINIMA) for c in ("minima", "minima2")]
             n, m = batch.column("n").to_numpy(), batch.column("n2").to_numpy()
-            shared = _shared(*minima)
+            shared = (minima[0] == minima[1]).sum(-1)
             good = (shared >= least) & (np.minimum(n, m) >= ratio * np.maximum(n, m))
             out = pa.RecordBatch.from_pydict({"u": batch.column("u"), "v": batch.column("v"), "shared": pa.array(shared, pa.int32())})
             yield out.filter(pa.array(good))
@@ -206,11 +208,12 @@ def _compare(least: int, ratio: float):
 
 def _likely(part: pd.DataFrame, least: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, rows, shared minima) of likely similar texts of different groups in a block pair, some
-    at a time. A pair that meets in several buckets counts in the first of them only."""
+    at a time. A pair that meets in several buckets counts in the first of them only, and there in
+    the first sub-bucket."""
     minima = np.frombuffer(b"".join(part.minima), "<u2").reshape(-1, MINIMA)
     buckets = np.array(part.buckets.tolist(), np.int64)
     label, n, own = part.label.to_numpy(), part.n.to_numpy(), part.own.to_numpy()
-    here = buckets == part.bucket.iloc[0]
+    here, path = buckets == part.root.iloc[0], part.path.iloc[0]
     left, right = np.flatnonzero(own == part.i.iloc[0]), np.flatnonzero(own == part.j.iloc[0])
     for a in range(0, len(left), 64):
         l = left[a : a + 64]
@@ -218,15 +221,24 @@ def _likely(part: pd.DataFrame, least: int, ratio: float) -> Iterator[tuple[np.n
         x, y = np.nonzero(may)
         for c in range(0, len(x), 8192):
             p, q = l[x[c : c + 8192]], right[y[c : c + 8192]]
-            shared = _shared(minima[p], minima[q])
-            good = shared >= least
-            p, q, shared = p[good], q[good], shared[good]
+            same = minima[p] == minima[q]
+            shared = same.sum(-1)
             first = (buckets[p] == buckets[q]).argmax(1)
-            good = here[p, first]
+            good = (shared >= least) & here[p, first]
+            for level, piece in enumerate(path):
+                at = SUB_START + level * SUB_PIECES * SUB_TAKEN
+                pieces = same[:, at : at + SUB_PIECES * SUB_TAKEN].reshape(-1, SUB_PIECES, SUB_TAKEN).all(2)
+                good &= pieces.argmax(1) == piece
             yield p[good], q[good], shared[good]
 
 
 _BLOCK = ["bucket", "i", "j"]
+_SPOT = ["uid", "root", "path", *_BLOCK, "own"]
+
+
+def _block_pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for _, part in rows.groupby(_BLOCK, sort=False):
+        yield part.reset_index(drop=True)
 
 
 def _partners(least: int, ratio: float, top: int):
@@ -234,7 +246,7 @@ def _partners(least: int, ratio: float, top: int):
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         us, vs = [], []
-        for _, part in rows.groupby(_BLOCK, sort=False):
+        for part in _block_pairs(rows):
             uid = part.uid.to_numpy()
             for x, y, shared in _likely(part, least, ratio):
                 order = np.lexsort((uid[y], -shared, x))
@@ -254,12 +266,12 @@ def _involved(least: int, ratio: float):
 
     def needed(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in rows.groupby(_BLOCK, sort=False):
+        for part in _block_pairs(rows):
             some = np.zeros(len(part), bool)
             for x, y, _ in _likely(part, least, ratio):
                 some[x] = some[y] = True
-            out.append(part.loc[some, ["uid", *_BLOCK, "own"]])
-        return pd.concat(out) if out else rows[["uid", *_BLOCK, "own"]].head(0)
+            out.append(part.loc[some, _SPOT])
+        return pd.concat(out) if out else rows[_SPOT].head(0)
 
     return needed
 
@@ -270,8 +282,7 @@ def _settled(least: int, ratio: float, threshold: float):
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         us, vs = [], []
-        for _, part in rows.groupby(_BLOCK, sort=False):
-            part = part.reset_index(drop=True)
+        for part in _block_pairs(rows):
             label, edges = labels(pa.array(part.norm, pa.large_string()))
             own, uid = Union(len(part)), part.uid.to_numpy()
             for x, y, _ in _likely(part, least, ratio):
@@ -294,18 +305,41 @@ def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(parts, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "uid")).drop("node", "component")
 
 
-def _open(posted: DataFrame, labelled: DataFrame, block: int) -> DataFrame:
-    """(uid, bucket, i, j, own): the places of texts in buckets that hold several groups. Large
-    buckets are cut into blocks; each pair of blocks (i, j) is a place of its own, own being the
-    text's block. ``posted``: (uid, bucket); ``labelled``: (uid, label, ...)."""
+def _several(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (label, bucket, ...) of buckets that hold several groups, with their blocks."""
+    groups = rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+    groups = groups.filter("low <> high").select("_bucket", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    return rows.join(groups, F.col("bucket") == F.col("_bucket")).drop("_bucket")
+
+
+def _open(posted: DataFrame, labelled: DataFrame, block: int, divide: int = DIVIDE) -> DataFrame:
+    """_SPOT: the places of texts in buckets that hold several groups.
+
+    Large buckets are cut into blocks; each pair of blocks (i, j) is a place of its own, own being
+    the text's block. A bucket of over ``divide`` blocks is divided first: a text goes to one
+    sub-bucket per piece of its minima, and similar texts share a piece nearly surely, so there are
+    SUB_PIECES rows a text instead of one per block. Sub-buckets of one group are left out, those
+    that are still large are divided again by other minima, and then cut into blocks like others.
+    root is the bucket and path the pieces that led here. ``posted``: (uid, bucket); ``labelled``:
+    (uid, label, minima, ...)."""
     placed = materialize(posted.join(labelled.select("uid", "label"), "uid"), "placed")
-    groups = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-    groups = groups.filter("low <> high").select(F.col("bucket").alias("_bucket"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    rows = placed.join(groups, F.col("bucket") == F.col("_bucket")).select("uid", "bucket", "blocks")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("_o", other).withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o"))
-    return materialize(rows.select("uid", "bucket", "i", "j", "own"), "open-buckets")
+    rows = _several(placed.select("uid", "label", F.col("bucket").alias("root"), "bucket", F.array().cast("array<int>").alias("path")), block)
+    rows, done = materialize(rows, "several"), []
+    for level in range(SUB_LEVELS):
+        large = rows.filter(F.col("blocks") > divide)
+        if large.isEmpty():
+            break
+        done.append(rows.filter(F.col("blocks") <= divide))
+        at = SUB_START + level * SUB_PIECES * SUB_TAKEN  # two bytes a minimum
+        pieces = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("minima", 2 * (at + k * SUB_TAKEN) + 1, 2 * SUB_TAKEN).alias("of")) for k in range(SUB_PIECES)])
+        split = large.join(labelled.select("uid", "minima"), "uid").withColumn("piece", F.explode(pieces))
+        split = split.select("uid", "label", "root", F.xxhash64("bucket", "piece.k", "piece.of").alias("bucket"), F.array_append("path", F.col("piece.k")).alias("path"))
+        rows = materialize(_several(materialize(split, "pieces"), block), "several")
+    for part in done:
+        rows = rows.unionByName(part)
+    rows = rows.select("uid", "root", "path", "bucket", "blocks", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("own"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return materialize(rows.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).select(*_SPOT), "open-buckets")
 
 
 def _tasks(rows: DataFrame) -> Column:
@@ -320,6 +354,7 @@ def near_duplicates(
     text: str = "text",
     threshold: float = THRESHOLD,
     block: int = BLOCK,
+    divide: int = DIVIDE,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (digest of the normalised text), class_id (smallest
     id of its group of near-duplicates), exact_id (smallest id of the same words), kept (true for
@@ -335,7 +370,7 @@ def near_duplicates(
     """
     bounded(docs.sparkSession)
     ratio = threshold
-    whole = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), normal(F.col(text)).alias("norm"))
+    whole = docs.select(named(doc_id).cast("bigint").alias("doc_id"), normal(named(text)).alias("norm"))
     whole = whole.withColumn("key", F.unhex(F.md5(F.col("norm").cast("binary"))))
     sketch = materialize(whole.mapInArrow(_sketches, _SKETCH).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
@@ -372,20 +407,20 @@ def near_duplicates(
     met = reps.join(candidates, "uid").select("uid", "n", "minima", "buckets")
 
     labelled = _grouped(met, links)
-    rows = _open(posted, labelled, block)
+    rows = _open(posted, labelled, block, divide)
     near = rows.join(labelled, "uid").groupBy(_tasks(rows)).applyInPandas(_partners(LEAST_SHARED, ratio, LIKELIEST), "u bigint, v bigint")
     links = links.unionByName(_aligned(materialize(near.distinct(), "partners"), texts, threshold))
 
     labelled = _grouped(met, links)
-    rows = _open(posted, labelled, block)
-    place = "uid bigint, bucket bigint, i int, j int, own int"
+    rows = _open(posted, labelled, block, divide)
+    place = "uid bigint, root bigint, path array<int>, bucket bigint, i int, j int, own int"
     rows = materialize(rows.join(labelled, "uid").groupBy(_tasks(rows)).applyInPandas(_involved(LEAST_SHARED, ratio), place), "involved")
     full = rows.join(labelled, "uid").join(texts, "uid").groupBy(_tasks(rows))
     links = links.unionByName(materialize(full.applyInPandas(_settled(LEAST_SHARED, ratio, threshold), "u bigint, v bigint"), "settled"))
 
-    named = _grouped(classes, links)
-    least = named.groupBy(F.col("label").alias("_label")).agg(F.min("best").alias("least"))
-    known = materialize(named.join(least, F.col("label") == F.col("_label")).select(F.col("key").alias("_key"), "best", "least"), "groups")
+    grouped = _grouped(classes, links)
+    least = grouped.groupBy(F.col("label").alias("_label")).agg(F.min("best").alias("least"))
+    known = materialize(grouped.join(least, F.col("label") == F.col("_label")).select(F.col("key").alias("_key"), "best", "least"), "groups")
     out = sketch.select("doc_id", "key", "rid", "n").join(known.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("n") > 0), "left")
     alone = F.col("_key").isNull()
     return out.select(
@@ -399,12 +434,19 @@ def near_duplicates(
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, the one of smallest id; texts
-    without words all stay."""
-    found = near_duplicates(docs, doc_id, text, threshold).filter("kept")
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    keyed = docs.withColumn("_k", F.unhex(F.md5(normal(F.col(text)).cast("binary"))))
-    rows = keyed.join(found.hint("merge"), (F.col("_k") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")))
-    # of repeated rows as many stay as were kept
-    number = F.row_number().over(Window.partitionBy("_k", doc_id).orderBy(F.lit(0)))
-    return rows.withColumn("_number", number).filter("_number <= _n").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one document of each group of near-duplicates, the one of smallest id.
+
+    Defined cases as in `near_duplicates`: texts without words (null, empty, blank) all stay; of
+    repeated rows one stays; null ids are the smallest of no group that has another; an empty table
+    gives an empty result. Columns may have any name and are unchanged."""
+    found = near_duplicates(docs, doc_id, text, threshold)
+    keyed = docs.select(row_of(docs), named(doc_id).cast("bigint").alias("id"), normal(named(text)).alias("norm"))
+    blank = keyed.filter("norm = ''").select(ROW)
+    keyed = keyed.filter("norm <> ''").select(ROW, "id", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest"))
+    kept = materialize(found.filter("kept").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")), "kept")
+    # rows that repeat id and words, of which any other column may differ: the first met stays
+    repeated = found.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        keyed = keyed.dropDuplicates(["digest", "id"])
+    rows = keyed.join(kept.hint("merge"), (F.col("digest") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.select(ROW).unionByName(blank).select(*fields(docs))

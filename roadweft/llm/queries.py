@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweft.llm import embedding_dedup, fingerprints, language_id, line_dedup, mixing, order_minhash, packing, token_counts, url_rules, warc
-from roadweft.session import scratch, table
+from roadweft.session import lasting, table
 
 #: The rules of the URL filter's contract (fixed values).
 URL_RULES = (
@@ -34,7 +34,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), scratch(spark, "token-counts"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), lasting(spark, "token-counts"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

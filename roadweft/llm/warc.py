@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweft.llm.arrow import bounded
-from roadweft.session import materialize, scratch
+from roadweft.llm.columns import named
+from roadweft.session import exists, materialize, passing, scratch
 
 ARCHIVE_BYTES = 8 << 20
 DICT_BYTES = 32 << 10
 SAMPLE_BYTES = 2 << 20
+PIECE_BYTES = 16 << 10
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the WARC Zstandard format: magic numbers of the dictionary's frame and of a frame.
@@ -66,17 +68,29 @@ def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return _head("WARC/1.1", fields) + block + b"\r\n\r\n"
 
 
-def train(records: list[bytes], size: int = DICT_BYTES, limit: int = SAMPLE_BYTES) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records spread evenly over the archive, of ``limit`` bytes about; None if
-    there is too little to learn from."""
-    step = max(1, sum(map(len, records)) // limit)
-    samples = [r for r in records[::step] if len(r) >= 8]
-    if len(samples) < 8:
-        return None
+def samples_of(records: list[bytes], limit: int = SAMPLE_BYTES) -> list[bytes]:
+    """Pieces of the archive's records, spread evenly over its bytes, of about ``limit`` bytes in
+    all. Long records give several pieces, and a small archive small ones, so that there are enough
+    to learn from however large or few the records are."""
+    total = sum(map(len, records))
+    size = max(8, min(PIECE_BYTES, total // 128))
+    step, seen, pieces = max(1, total // limit), 0, []
+    for record in records:
+        for at in range(0, len(record), size):
+            if seen % step == 0 and len(record) - at >= 8:
+                pieces.append(record[at : at + size])
+            seen += 1
+    return pieces
+
+
+def train(records: list[bytes], size: int = DICT_BYTES, limit: int = SAMPLE_BYTES) -> zstandard.ZstdCompressionDict:
+    """A dictionary trained on pieces of the records. Where those are too few or too uniform for the
+    trainer, the pieces themselves are the dictionary (raw content)."""
+    pieces = samples_of(records, limit)
     try:
-        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 4), samples)
+        return zstandard.train_dictionary(max(256, min(size, sum(map(len, pieces)) // 4)), pieces)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(pieces)[:size], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def pack_archive(records: list[bytes]) -> bytes:
@@ -84,12 +98,9 @@ def pack_archive(records: list[bytes]) -> bytes:
     info = b"software: roadweft\r\nformat: WARC File Format 1.1\r\n"
     first = _head("WARC/1.1", [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(info)))]) + info + b"\r\n\r\n"
     words = train(records)
-    parts = []
-    if words is not None:
-        packed = zstandard.ZstdCompressor(level=LEVEL).compress(words.as_bytes())
-        parts.append(struct.pack("<II", DICT_MAGIC, len(packed)) + packed)
-    squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_checksum=True) if words else zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
-    return b"".join(parts + [squeeze.compress(r) for r in [first, *records]])
+    packed = zstandard.ZstdCompressor(level=LEVEL).compress(words.as_bytes())
+    squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_checksum=True)
+    return b"".join([struct.pack("<II", DICT_MAGIC, len(packed)), packed, *(squeeze.compress(r) for r in [first, *records])])
 
 
 def _frame_end(data: memoryview, at: int) -> int:
@@ -151,9 +162,14 @@ def parse(record: bytes) -> dict | None:
     }
 
 
-def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, folder: str | None = None
+) -> DataFrame:
     """Write one record per row; returns the written table of archives: path, records, bytes.
 
+    The archives go to ``folder``, which all executors share; without one to a scratch folder that
+    is deleted when the application ends.
+
     Of rows with equal payloads of at least ``min_bytes`` the smallest id is the response and
     others revisit it; smaller payloads are all responses. Defined cases: a null payload is empty;
     a null id is never the smallest if another exists, and revisits it; repeated rows that share
@@ -162,8 +178,8 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload:
     """
     spark = pages.sparkSession
     bounded(spark)
-    folder = scratch(spark, "warc")
-    slim = pages.select(F.col(page_id).cast("bigint").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
+    lasts, folder = folder is not None, (folder or scratch(spark, "warc")).rstrip("/")
+    slim = pages.select(named(page_id).cast("bigint").alias("id"), named(url).cast("string").alias("url"), F.coalesce(named(payload).cast("string"), F.lit("")).alias("payload"))
     keyed = slim.withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary"))))
     copies = (
         keyed.filter(F.octet_length("payload") >= min_bytes)
@@ -197,11 +213,19 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload:
         if held:
             yield close()
 
-    return materialize(rows.mapInArrow(archives, "path string, records bigint, bytes bigint"), "warc-archives")
+    written = materialize(rows.mapInArrow(archives, "path string, records bigint, bytes bigint"), "warc-archives")
+    if not lasts and exists(spark, folder):
+        passing(spark, folder)
+    return written
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """The page records of written archives, checked, as rows of READ."""
+    """The page records of written archives (path, ...), as rows of READ.
+
+    Defined cases: lengths and digests are checked and a damaged record is an error; a record
+    without a URL has a null target_uri; records that hold no page (warcinfo) give no row; records
+    come as often as they were written; a table of no archives gives an empty result; other columns
+    are not read. A task holds one archive."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in READ.split(", ")]
