@@ -10,12 +10,13 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweft.operators.components import components
-from roadweft.session import materialize
+from roadweft.session import Rounds, materialize
 
 __all__ = ["chains", "clean_subgraphs", "components", "greedy_match", "largest_component", "longest_paths", "merge_points", "prune_spurs", "shortest_paths", "simplify", "with_component"]
 
@@ -44,17 +45,18 @@ def _around(rows: pd.DataFrame) -> dict[int, list[tuple[int, float]]]:
 
 
 def _dijkstra(around: dict[int, list[tuple[int, float]]], source: int) -> dict[int, tuple[float, int | None]]:
-    """(distance, node before) of every node that ``source`` reaches."""
+    """(distance, node before) of every node that ``source`` reaches; of equal ways the one whose last
+    run of edges of weight 0 is the shortest, then the one by the smaller node before."""
     settled: dict[int, tuple[float, int | None]] = {}
-    queue: list[tuple[float, int, int | None]] = [(0.0, source, None)]
+    queue: list[tuple[float, int, int, int | None]] = [(0.0, 0, source, None)]
     while queue:
-        d, node, before = heapq.heappop(queue)
+        d, zeros, node, before = heapq.heappop(queue)
         if node in settled:
             continue
         settled[node] = (d, before)
         for other, w in around.get(node, ()):
             if other not in settled:
-                heapq.heappush(queue, (d + w, other, node))
+                heapq.heappush(queue, (d + w, 0 if w else zeros + 1, other, node))
     return settled
 
 
@@ -66,25 +68,30 @@ def _lightest(edges: DataFrame, *by: str) -> DataFrame:
 
 def _relaxed(edges: DataFrame, source: int) -> DataFrame:
     """(node, distance, before) by rounds in which the nodes that came nearer make offers to their
-    neighbours; no task holds more of the graph than a join does. Weights are positive."""
+    neighbours; no task holds more of the graph than a join does. A way is known by its distance and
+    the length of its last run of edges of weight 0. Along a way one of the two grows, so it doesn't
+    close."""
     back = edges.select(F.col("v").alias("a"), F.col("u").alias("b"), "weight")
     both = materialize(edges.toDF("a", "b", "weight").unionByName(back), "arcs")
-    known = fresh = edges.sparkSession.createDataFrame([(source, 0.0, None)], "node bigint, distance double, before bigint")
+    known = fresh = edges.sparkSession.createDataFrame([(source, 0.0, 0, None)], "node bigint, distance double, zeros bigint, before bigint")
+    rounds = Rounds("known")
     while True:
-        offers = fresh.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.struct((F.col("distance") + F.col("weight")).alias("distance"), F.col("a").alias("before")).alias("offer"))
-        best = offers.groupBy("node").agg(F.min("offer").alias("offer")).select("node", "offer.*")
-        old = known.select(F.col("node").alias("_n"), F.col("distance").alias("_d"), F.col("before").alias("_b"))
-        nearer = F.col("_n").isNull() | (F.col("distance") < F.col("_d")) | ((F.col("distance") == F.col("_d")) & (F.col("before") < F.col("_b")))
-        fresh = materialize(best.join(old, F.col("node") == F.col("_n"), "left").filter(nearer).drop("_n", "_d", "_b"), "nearer")
+        way = F.struct((F.col("distance") + F.col("weight")).alias("distance"), F.when(F.col("weight") > 0, 0).otherwise(F.col("zeros") + 1).cast("bigint").alias("zeros"), F.col("a").alias("before"))
+        offers = fresh.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), way.alias("offer"))
+        best = offers.groupBy("node").agg(F.min("offer").alias("offer"))
+        old = known.select(F.col("node").alias("_n"), F.struct("distance", "zeros", "before").alias("_way"))
+        nearer = F.col("_n").isNull() | (F.col("offer") < F.col("_way"))
+        fresh = materialize(best.join(old, F.col("node") == F.col("_n"), "left").filter(nearer & (F.col("node") != source)).select("node", "offer.*"), "nearer")
         if fresh.isEmpty():
-            return known
-        known = materialize(known.join(fresh.select("node"), "node", "left_anti").unionByName(fresh), "known")
+            return known.select("node", "distance", "before")
+        known = rounds.write(known.join(fresh.select("node"), "node", "left_anti").unionByName(fresh))
 
 
 def shortest_paths(edges: DataFrame, source: int, kernel_edges: int = 2_000_000) -> DataFrame:
-    """(node, distance, before) from ``source`` along undirected edges of positive weight; of equal
-    ways the one by the smaller node before. A component of at most ``kernel_edges`` pairs is walked
-    in one task, a larger one by rounds of joins. Without edges at ``source`` nothing is found."""
+    """(node, distance, before) from ``source`` along undirected edges of weight 0 or more; of equal
+    ways the one by the smaller node before, over an edge of positive weight if there is one. A
+    component of at most ``kernel_edges`` pairs is walked in one task, a larger one by rounds of
+    joins, to the same result. Without edges at ``source`` nothing is found."""
     marked = materialize(with_component(edges), "marked")
     home = marked.filter((F.col("u") == source) | (F.col("v") == source)).select(F.col("component").alias("_c")).distinct()
     own = materialize(_lightest(marked.join(home, F.col("component") == F.col("_c"), "left_semi"), "component"), "own")
@@ -120,21 +127,27 @@ def clean_subgraphs(edges: DataFrame, min_length: float = 300.0, max_nodes: int
     return with_component(edges).join(bad, F.col("component") == F.col("_c"), "left_anti").drop("component")
 
 
-def prune_spurs(edges: DataFrame, least: float = 30.0, rounds: int = 8) -> DataFrame:
+def prune_spurs(edges: DataFrame, least: float = 30.0, rounds: int = 8, rim: DataFrame | None = None) -> DataFrame:
     """Drop terminal nodes (degree 1) whose edge is shorter than ``least``, until none is left or
-    after ``rounds`` rounds."""
-    now = materialize(edges.filter("u <> v"), "edges")
+    after ``rounds`` rounds; then loops. Edges with an end in ``rim`` (node), the nodes near an
+    image's border, stay: a road that leaves the image is no spur."""
+    written = Rounds("edges")
+    now = written.write(edges)
     left = now.count()
     for _ in range(rounds):
-        ends = now.select(F.explode(F.array("u", "v")).alias("node"), "weight")
-        bad = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.max("weight").alias("w")).filter((F.col("degree") == 1) & (F.col("w") < least)).select("node")
+        ends = now.select(F.explode(F.array("u", "v")).alias("node"), "u", "v", "weight")
+        bad = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.max("weight").alias("w"), F.min(F.struct("u", "v")).alias("e")).filter((F.col("degree") == 1) & (F.col("w") < least))
+        if rim is not None:
+            for end in ("u", "v"):
+                bad = bad.join(rim.select(F.col("node").alias("_rim")).distinct(), F.col(f"e.{end}") == F.col("_rim"), "left_anti")
+        bad = bad.select("node")
         kept = now.join(bad, F.col("u") == F.col("node"), "left_anti").join(bad, F.col("v") == F.col("node"), "left_anti")
-        now = materialize(kept, "edges")
+        now = written.write(kept)
         n = now.count()
         if n == left:
             break
         left = n
-    return now
+    return now.filter("u <> v")
 
 
 def _endpoints(edges: DataFrame) -> DataFrame:
@@ -172,26 +185,36 @@ def simplify(edges: DataFrame) -> DataFrame:
     return alone.unionByName(ends.select(low.alias("u"), F.coalesce(F.array_max("ends"), F.col("chain")).alias("v"), "length", "pieces"))
 
 
-def greedy_match(pairs: DataFrame) -> DataFrame:
+def greedy_match(pairs: DataFrame, kernel_pairs: int = 1_000_000) -> DataFrame:
     """One-to-one matching in ascending (d, s, e), each node used once: pairs that are the first of
-    both their nodes are taken, their nodes leave, and so on; equal to taking pairs in order. Every
-    round takes the first pair that is left at least, so the rounds end."""
-    left = materialize(pairs.select("s", "e", "d"), "pairs")
-    taken = None
-    while True:
+    both their nodes are taken, their nodes leave, and so on; equal to taking pairs in order. Rounds
+    go on while more than ``kernel_pairs`` pairs are left, and then one task takes the rest in order,
+    so a long falling chain costs no round per pair. Every round takes the first pair at least."""
+    written, taken = Rounds("pairs"), Rounds("matched")
+    left = written.write(pairs.select("s", "e", "d"))
+    matched = left.limit(0)
+    while left.count() > kernel_pairs:
         rank = F.struct("d", "s", "e")
         ends = left.select(F.explode(F.array("s", "e")).alias("node"), rank.alias("r"))
         first = ends.groupBy("node").agg(F.min("r").alias("r"))
         a, b = first.select(F.col("node").alias("_a"), F.col("r").alias("_ra")), first.select(F.col("node").alias("_b"), F.col("r").alias("_rb"))
         now = left.join(a, F.col("s") == F.col("_a")).join(b, F.col("e") == F.col("_b"))
         now = materialize(now.filter((rank == F.col("_ra")) & (rank == F.col("_rb"))).select("s", "e", "d"), "taken")
-        if now.isEmpty():
-            break
-        taken = now if taken is None else taken.unionByName(now)
+        matched = taken.write(matched.unionByName(now))
         used = now.select(F.explode(F.array("s", "e")).alias("node"))
-        left = left.join(used, F.col("s") == F.col("node"), "left_anti").join(used, F.col("e") == F.col("node"), "left_anti")
-        left = materialize(left, "pairs")
-    return taken if taken is not None else left.limit(0)
+        left = written.write(left.join(used, F.col("s") == F.col("node"), "left_anti").join(used, F.col("e") == F.col("node"), "left_anti"))
+
+    def rest(batches):
+        rows = pd.concat([*batches, pd.DataFrame({"s": [], "e": [], "d": []})]).sort_values(["d", "s", "e"])
+        seen: set[int] = set()
+        keep = []
+        for s, e in zip(rows.s, rows.e):
+            keep.append(s not in seen and e not in seen)
+            if keep[-1]:
+                seen |= {s, e}
+        yield rows[np.array(keep, bool)]
+
+    return matched.unionByName(left.coalesce(1).mapInPandas(rest, left.schema))
 
 
 def merge_points(points: DataFrame, links: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@ blur, skeleton graphs, and line simplification."""
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 
+from roadweft.operators.components import labelled
+
 #: Offsets of the eight neighbours, clockwise from above.
 RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 
@@ -37,24 +37,20 @@ def thin(mask: np.ndarray) -> np.ndarray:
 
 
 def areas(mask: np.ndarray, corners: bool = False) -> np.ndarray:
-    """Numbers of connected areas, 0 for background; by edges, or by corners too."""
-    out = np.zeros(mask.shape, np.int64)
-    steps = RING if corners else RING[::2]
-    number = 0
-    for start in zip(*np.nonzero(mask)):
-        if out[start]:
-            continue
-        number += 1
-        out[start] = number
-        todo = deque([start])
-        while todo:
-            y, x = todo.popleft()
-            for dy, dx in steps:
-                at = (y + dy, x + dx)
-                if 0 <= at[0] < mask.shape[0] and 0 <= at[1] < mask.shape[1] and mask[at] and not out[at]:
-                    out[at] = number
-                    todo.append(at)
-    return out
+    """Numbers of connected areas in the order of their first pixels, 0 for background; by edges, or
+    by corners too."""
+    on = np.asarray(mask) > 0
+    place = np.arange(on.size).reshape(on.shape)
+    pairs = [(place[on], place[on])]
+    for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1))[: 4 if corners else 2]:
+        here = (slice(0, on.shape[0] - dy), slice(max(0, -dx), on.shape[1] - max(0, dx)))
+        there = (slice(dy, on.shape[0]), slice(max(0, dx), on.shape[1] - max(0, -dx)))
+        both = on[here] & on[there]
+        pairs.append((place[here][both], place[there][both]))
+    nodes, first = labelled(*(np.concatenate(x) for x in zip(*pairs)))
+    out = np.zeros(on.size, np.int64)
+    out[nodes] = np.unique(first, return_inverse=True)[1] + 1
+    return out.reshape(on.shape)
 
 
 def open_areas(mask: np.ndarray, least: int) -> np.ndarray:
@@ -96,6 +92,36 @@ def blur(image: np.ndarray, size: int = 7) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(rows, size, axis=1) @ weights
 
 
+def distances(mask: np.ndarray) -> np.ndarray:
+    """Distance of every pixel to the nearest background pixel; beyond the image is no background."""
+    far = float(sum(mask.shape)) ** 2
+    best = np.where(mask > 0, far, 0.0)
+    for _ in range(2):  # columns, then rows: least squared distance along the line
+        n = best.shape[0]
+        apart = (np.arange(n)[:, None] - np.arange(n)[None]) ** 2.0
+        best = np.stack([(apart + best[:, x]).min(1) for x in range(best.shape[1])], 1).T
+    return np.sqrt(best)
+
+
+def medial_axis(mask: np.ndarray) -> np.ndarray:
+    """One-pixel ridge of the distance to the background: pixels leave from the rim inwards, by
+    distance, those in corners last, unless one is an end or its neighbours would come apart."""
+    now = np.pad((np.asarray(mask) > 0).astype(np.uint8), 1)
+    near = np.pad(distances(now[1:-1, 1:-1]), 1)
+    ys, xs = np.nonzero(now)
+    crowd = sum(r.astype(int) for r in _shifted(now))
+    for k in np.lexsort((np.arange(len(ys)), -crowd[ys, xs], near[ys, xs])):
+        y, x = ys[k], xs[k]
+        ring = [int(now[y + dy, x + dx]) for dy, dx in RING]
+        if sum(ring) < 2:
+            continue
+        # groups of neighbours that touch by edges or corners around the pixel
+        groups = sum(not a and not (b and edge) and c for a, b, c, edge in [(ring[i - 1], ring[i - 2], ring[i], i % 2 == 0) for i in range(8)])
+        if groups <= 1 and not all(ring[::2]):
+            now[y, x] = 0
+    return now[1:-1, 1:-1]
+
+
 def simplify_line(points: np.ndarray, epsilon: float) -> np.ndarray:
     """Ramer-Douglas-Peucker with an explicit stack; the farthest point splits if it is at least
     ``epsilon`` from the infinite line through the ends (from the point, where they coincide)."""

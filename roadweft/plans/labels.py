@@ -2,30 +2,9 @@
 
 from __future__ import annotations
 
+from roadweft.functions.speeds import CHANNEL_MPH, COLOR_FROM, COLORS, HIGHWAY, MPH, SKIP, VALID
 from roadweft.plans.dual import both
 
-#: Speed in mph by road type 1..7 for 1-2 lanes and for 3-12 lanes (fixed values).
-MPH = {1: (55, 65), 2: (45, 55), 3: (35, 45), 4: (30, 35), 5: (25, 30), 6: (20, 20), 7: (20, 20)}
-#: Road type by highway class (fixed values).
-HIGHWAY = {
-    1: ("motorway", "motorway_link", "trunk", "trunk_link"),
-    2: ("primary", "primary_link", "bus_guideway"),
-    3: ("secondary", "secondary_link"),
-    4: ("tertiary", "tertiary_link"),
-    5: ("residential", "living_street"),
-    6: ("unclassified", "service", "road"),
-    7: ("cart_track", "track"),
-}
-#: Classes that are no roads (fixed values).
-SKIP = ("stopline", "footway", "bridleway", "step", "steps", "path", "pedestrian", "escape", "cycleway", "raceway", "bus", "services", "escalator", "sidewalk")
-#: Highway types that a mask is made for (fixed values).
-VALID = ("motorway", "trunk", "primary", "secondary", "tertiary", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link", "unclassified", "residential", "service")
-#: Speed of a channel in mph (fixed values).
-CHANNEL_MPH = (7.5, 17.5, 25, 35, 45, 55, 65)
-#: Lower speed of each colour above the first, and the colours (fixed values).
-COLOR_FROM = (15, 25, 35, 45, 55, 65, 75)
-COLORS = ("#ffffb2", "#ffe281", "#fec357", "#fe9f45", "#fa7634", "#f24624", "#da2122", "#bd0026")
-
 _quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 _LOOKUP = "(SELECT * FROM (VALUES " + ", ".join(f"({t}, {n}, {MPH[t][n > 2]})" for t in MPH for n in range(1, 13)) + ") AS v(type_, lanes_, mph0))"
 _CLASS = "CASE " + " ".join(f"WHEN lower(highway) IN ({_quoted(names)}) THEN {k}" for k, names in HIGHWAY.items()) + " END"
@@ -48,7 +27,7 @@ OSM = """osm AS (
 #: The binned and the continuous conversion table, built by their rules.
 BINNED = "binned AS (SELECT CAST(speed AS INT) AS speed, CAST(ceil(speed / 10e0) * 36 AS INT) AS burn_val, CAST(ceil(speed / 10e0) AS INT) - 1 AS channel FROM (SELECT @series(1, 65) AS speed) t)"
 CONTIN = "contin AS (SELECT CAST(speed AS INT) AS speed, greatest(least(255e0 * speed / 65e0, 255e0), 0e0) AS burn_val FROM (SELECT @series(0, 65) AS speed) t)"
-_ROUND = lambda x, d: f"(@rint({x} * 1e{d}) / 1e{d})"
+_ROUND = lambda x, d: f"(@rint(({x}) * 1e{d}) / 1e{d})"
 
 TEMPLATES = {
     "join_speed_lookup": f"WITH {SPEED} SELECT road_type, lanes, surface, min(speed_mph) AS speed_mph, CAST(count(*) AS BIGINT) AS n FROM speed GROUP BY road_type, lanes, surface",

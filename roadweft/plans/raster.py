@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from roadweft.plans.dual import both
 
-_ROUND = lambda x, d: f"(@rint({x} * 1e{d}) / 1e{d})"
+_ROUND = lambda x, d: f"(@rint(({x}) * 1e{d}) / 1e{d})"
 PIXEL = "pixel AS (SELECT l_partkey AS x, l_suppkey AS y, l_quantity AS v, l_orderkey AS src, CAST(l_orderkey % 4 AS INT) AS fold, CAST(l_linenumber AS INT) AS band FROM {lineitem})"
 IMAGE = "image AS (SELECT p_partkey AS image_id, p_name AS name, CAST(1400 + 60 * p_size AS INT) AS w, CAST(1300 + 200 * (p_partkey % 7) AS INT) AS h FROM {part})"
 TILE = f"""{IMAGE}, xs AS (SELECT image_id, name, w, h, least(1280 * i, w - 1300) AS xmin FROM (SELECT *, @series(0, @div(w - 2, 1280)) AS i FROM image) t),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadweft.functions import speeds
 from roadweft.plans.dual import duck_query
 from roadweft.plans.kernels import images
 from roadweft.session import materialize, scratch, table
@@ -34,24 +38,56 @@ def sink_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> str:
+    """FeatureCollections of eight images' roads."""
     path = scratch(spark, "geojson")
     at = F.array(F.array((F.col("o_custkey") * 0.5).alias("x"), F.lit(1.5)), F.array(F.lit(2.5), F.col("o_totalprice")))
     geometry = F.struct(F.lit("LineString").alias("type"), at.alias("coordinates"))
     properties = F.create_map(F.lit("id"), F.col("o_orderkey").cast("string"), F.lit("highway"), F.col("o_orderpriority"))
-    sinks.geojson(table(spark, sf_dir, "orders").select(properties.alias("properties"), geometry.alias("geometry")), path)
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 8).alias("image_id"), F.col("o_orderkey"), properties.alias("properties"), geometry.alias("geometry"))
+    sinks.geojson(rows, path, "image_id", "o_orderkey")
     return path
 
 
+def scan_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature of the collections as they were written, with its place in its file."""
+    rows = files.geojson(spark, _features(spark, sf_dir))
+    p, points = F.col("properties"), F.col("points")
+    return rows.select(
+        F.regexp_extract("path", r"image_id=(\d+)", 1).cast("bigint").alias("image_id"), F.col("feature").cast("bigint").alias("feature"),
+        p["id"].cast("bigint").alias("id"), p["highway"].alias("highway"), "kind", points[0][0].alias("x0"), points[1][1].alias("y1"),
+    )
+
+
 def sink_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.schema("properties map<string,string>, geometry struct<type:string,coordinates:array<array<double>>>").json(_features(spark, sf_dir))
-    return rows.select(F.col("properties")["id"].cast("bigint").alias("id"), F.col("properties")["highway"].alias("highway"), F.col("geometry.coordinates")[0][0].alias("x0"), F.col("geometry.coordinates")[1][1].alias("y1"))
+    """Each file is one FeatureCollection; its features are counted in the raw JSON."""
+    found = spark.read.option("recursiveFileLookup", True).text(_features(spark, sf_dir), wholetext=True)
+    body = F.from_json("value", "type string, features array<struct<type:string>>")
+    rows = found.select(F.regexp_extract(F.input_file_name(), r"image_id=(\d+)", 1).cast("bigint").alias("image_id"), body.alias("b"))
+    return rows.select("image_id", F.col("b.type").alias("type"), F.size("b.features").cast("bigint").alias("features"), F.size(F.array_distinct("b.features.type")).cast("bigint").alias("kinds"))
 
 
 def scan_geodf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of every image's features; images without features have an empty mask."""
-    rows = sink_geojson(spark, sf_dir).groupBy("highway").agg(F.count(F.lit(1)).alias("features"))
-    every = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("highway")).union(spark.createDataFrame([("none",)], "highway string")).distinct()
-    return every.join(rows, "highway", "left").select("highway", F.coalesce("features", F.lit(0)).cast("bigint").alias("features"), F.col("features").isNull().alias("zero_mask"))
+    """Features of every image; images without any have an empty mask."""
+    rows = scan_geojson(spark, sf_dir).groupBy("image_id").agg(F.count(F.lit(1)).alias("features"), F.max("y1").alias("top"))
+    every = spark.range(10).select(F.col("id").alias("image_id"))
+    return every.join(rows, "image_id", "left").select("image_id", F.coalesce("features", F.lit(0)).cast("bigint").alias("features"), F.coalesce("top", F.lit(0.0)).alias("top"), F.col("features").isNull().alias("zero_mask"))
+
+
+def scan_csv_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The binned conversion table, written with its index as an unnamed first column, and read back."""
+    path = scratch(spark, "csv")
+    rows = speeds.binned_table(spark.range(1, speeds.MAX_MPH + 1).select(F.col("id").cast("int").alias("speed")))
+    sinks.csv(rows.select((F.col("speed") - 1).alias("_c0"), "burn_val", "speed", "channel"), path)
+    return files.csv(spark, path, "_c0 int, burn_val int, speed int, channel int", indexed=True)
+
+
+def scan_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration's JSON in the shared folder, loaded and updated: key and value as text."""
+    path = scratch(spark, "config")
+    spark.createDataFrame([(json.dumps(dataclasses.asdict(files.Config(num_folds=4))),)], "value string").coalesce(1).write.text(path)
+    config = files.Config.load(path, spark).updated(slice_x=650)
+    rows = [(k, json.dumps(v)) for k, v in dataclasses.asdict(config).items()]
+    return spark.createDataFrame(rows, "key string, value string").filter(F.col("key").isin("num_folds", "slice_x", "slice_y", "GSD", "loss", "lr_steps", "skeleton_band", "ignore_target_size", "network"))
 
 
 def _stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -93,6 +129,39 @@ def _read_back(content: DataFrame) -> DataFrame:
     return found.select(F.regexp_extract("name", r"^(\d+)\.", 1).cast("bigint").alias("image_id"), "band", "y", "x", "v")
 
 
+def scan_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of images among others, found by their endings."""
+    own = _pixels(spark, sf_dir).filter("name < '3'")
+    folder = scratch(spark, "images")
+    for form in ("png", "tif"):
+        sinks.images(sinks.encoded(own, 100, 100, 1, form), folder).collect()
+    sinks.images(spark.createDataFrame([("readme.txt", b"no image")], "name string, content binary"), folder).collect()
+    return files.listing(spark, folder).select("name", F.substring_index("name", ".", -1).alias("kind"))
+
+
+def scan_raster_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-band masks: their size, and sum and number of what they hold."""
+    decoded = files.bands(materialize(sinks.encoded(_pixels(spark, sf_dir), 100, 100, 1, "png"), "png"))
+    sums = files.pixels(decoded).groupBy("name").agg(F.sum("v").alias("sum"), F.count(F.lit(1)).alias("n"))
+    found = decoded.select("name", "band", "height", "width").join(sums, "name")
+    return found.select(F.regexp_extract("name", r"^(\d+)\.", 1).cast("bigint").alias("image_id"), "band", "height", "width", "sum", "n")
+
+
+def scan_raster_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the bands of three-band images, in the order asked for."""
+    own = _pixels(spark, sf_dir)
+    three = own.withColumn("band", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("v", F.col("v") * F.col("band"))
+    decoded = files.bands(materialize(sinks.encoded(three, 100, 100, 3), "tif"), [3, 1])
+    found = files.pixels(decoded).select(F.regexp_extract("name", r"^(\d+)\.", 1).cast("bigint").alias("image_id"), "band", "y", "x", "v")
+    return found
+
+
+def scan_raster_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origin and pixel size from the headers of TIFFs."""
+    decoded = files.bands(materialize(sinks.encoded(_pixels(spark, sf_dir), 100, 100, 1, geo=(1000.5, 2000.25, 0.3, -0.3)), "tif"))
+    return decoded.select(F.regexp_extract("name", r"^(\d+)\.", 1).cast("bigint").alias("image_id"), "x0", "y0", "pixel_x", "pixel_y")
+
+
 def sink_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-band PNG files, stored and decoded."""
     return _read_back(materialize(sinks.encoded(_pixels(spark, sf_dir), 100, 100, 1, "png"), "png"))
@@ -107,15 +176,23 @@ def sink_geotiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PIXEL = "pixel AS (SELECT CAST(floor(l_partkey / 100) AS BIGINT) AS image_id, CAST(l_partkey % 100 AS INT) AS y, CAST(l_suppkey % 100 AS INT) AS x, max(l_quantity) AS v FROM {lineitem} GROUP BY 1, 2, 3)"
 
-QUERIES = {f.__name__: f for f in (sink_csv, scan_csv, sink_if_absent, sink_geojson, scan_geodf, sink_gpickle, scan_gpickle, sink_copy_split, scan_dir, sink_raster, sink_geotiff)}
+QUERIES = {f.__name__: f for f in (sink_csv, scan_csv, sink_if_absent, sink_geojson, scan_geojson, scan_geodf, scan_csv_idx, scan_config, scan_glob, scan_raster_1, scan_raster_n, scan_raster_meta, sink_gpickle, scan_gpickle, sink_copy_split, scan_dir, sink_raster, sink_geotiff)}
 ORACLE_SQL = {
     name: duck_query(sql)
     for name, sql in {
         "sink_csv": "SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM {orders}",
         "scan_csv": "SELECT s_suppkey, s_name, s_acctbal FROM {supplier}",
         "sink_if_absent": "SELECT n_nationkey, n_name FROM {nation}",
-        "sink_geojson": "SELECT o_orderkey AS id, o_orderpriority AS highway, o_custkey * 0.5e0 AS x0, o_totalprice AS y1 FROM {orders}",
-        "scan_geodf": "SELECT o_orderpriority AS highway, CAST(count(*) AS BIGINT) AS features, false AS zero_mask FROM {orders} GROUP BY 1 UNION ALL SELECT 'none', 0, true",
+        "sink_geojson": "SELECT o_orderkey % 8 AS image_id, 'FeatureCollection' AS type, CAST(count(*) AS BIGINT) AS features, CAST(1 AS BIGINT) AS kinds FROM {orders} GROUP BY 1",
+        "scan_geojson": "SELECT o_orderkey % 8 AS image_id, CAST(row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) - 1 AS BIGINT) AS feature, o_orderkey AS id, o_orderpriority AS highway, 'LineString' AS kind, o_custkey * 0.5e0 AS x0, o_totalprice AS y1 FROM {orders}",
+        "scan_geodf": "SELECT o_orderkey % 8 AS image_id, CAST(count(*) AS BIGINT) AS features, max(o_totalprice) AS top, false AS zero_mask FROM {orders} GROUP BY 1 UNION ALL SELECT * FROM (VALUES (CAST(8 AS BIGINT), CAST(0 AS BIGINT), 0e0, true), (9, 0, 0e0, true)) AS v(a, b, c, d)",
+        "scan_csv_idx": "SELECT CAST(36 * ((s + 9) // 10) AS INT) AS burn_val, CAST(s AS INT) AS speed, CAST((s - 1) // 10 AS INT) AS channel FROM range(1, 66) r(s)",
+        "scan_config": """SELECT * FROM (VALUES ('num_folds', '4'), ('slice_x', '650'), ('slice_y', '1300'), ('GSD', '0.3'), ('loss', '{"soft_dice": 0.25, "focal": 0.75}'), ('lr_steps', '[20, 25]'),
+            ('skeleton_band', '7'), ('ignore_target_size', 'false'), ('network', '"resnet34"')) AS v(key, value)""",
+        "scan_glob": f"WITH {PIXEL} SELECT DISTINCT concat(image_id, '.', kind) AS name, kind FROM pixel CROSS JOIN (SELECT * FROM (VALUES ('png'), ('tif')) AS k(kind)) k WHERE CAST(image_id AS VARCHAR) < '3'",
+        "scan_raster_1": f"WITH {PIXEL} SELECT image_id, CAST(1 AS INT) AS band, CAST(100 AS INT) AS height, CAST(100 AS INT) AS width, sum(v) AS sum, CAST(count(*) AS BIGINT) AS n FROM pixel GROUP BY image_id",
+        "scan_raster_n": f"WITH {PIXEL} SELECT image_id, band, y, x, v * band AS v FROM pixel CROSS JOIN (SELECT * FROM (VALUES (1), (3)) AS b(band)) b",
+        "scan_raster_meta": f"WITH {PIXEL} SELECT DISTINCT image_id, 1000.5e0 AS x0, 2000.25e0 AS y0, 0.3e0 AS pixel_x, -0.3e0 AS pixel_y FROM pixel",
         "sink_gpickle": "SELECT l_partkey % 8 AS image_id, l_partkey AS u, l_suppkey AS v, l_quantity AS weight FROM {lineitem}",
         "scan_gpickle": "SELECT o_orderkey % 8 AS image_id, o_orderkey AS node FROM {orders} WHERE o_orderkey % 8 = 5",
         "sink_copy_split": "SELECT CASE WHEN c_custkey % 10 < 8 THEN 'train' ELSE 'test' END AS split, c_custkey, c_name FROM {customer}",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +18,16 @@ def csv(df: DataFrame, path: str, overwrite: bool = True) -> None:
     df.write.mode("overwrite" if overwrite else "ignore").option("header", True).csv(path)
 
 
-def geojson(df: DataFrame, path: str) -> None:
-    """One feature per line, from columns properties and geometry."""
-    df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), "properties", "geometry")).alias("value")).write.mode("overwrite").text(path)
+def geojson(df: DataFrame, path: str, by: str, order: str | None = None) -> None:
+    """One FeatureCollection per value of ``by``, in a file of its own below ``path``/by=value, from
+    columns properties (a map) and geometry (a struct of type and coordinates); features in the
+    order of ``order``. An image's features are few, so one row holds them."""
+    feature = F.struct(F.lit("Feature").alias("type"), "properties", "geometry")
+    ordered = F.array_sort(F.collect_list(F.struct((F.col(order) if order else F.lit(0)).alias("at"), F.to_json(feature).alias("text"))))
+    texts = df.groupBy(by).agg(F.transform(ordered, lambda f: f["text"]).alias("features"))
+    whole = F.concat(F.lit('{"type":"FeatureCollection","features":[\n'), F.array_join("features", ",\n"), F.lit("\n]}"))
+    # one row a file, however rows fall on tasks
+    texts.select(by, whole.alias("value")).write.mode("overwrite").partitionBy(by).option("maxRecordsPerFile", 1).text(path)
 
 
 def graph(nodes: DataFrame, edges: DataFrame, folder: str, by: str = "image_id") -> None:
@@ -32,31 +40,34 @@ def split(df: DataFrame, path: str, column: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(column).parquet(path)
 
 
-def encoded(pixels: DataFrame, height: int, width: int, count: int, form: str = "tif") -> DataFrame:
+def encoded(pixels: DataFrame, height: int, width: int, count: int, form: str = "tif", geo: tuple[float, float, float, float] | None = None) -> DataFrame:
     """(name, content): 8-bit TIFF or PNG files of pixels (name, band, y, x, v), one image at a time;
-    pixels that are missing are 0, of several for one place the largest holds."""
+    pixels that are missing are 0, of several for one place the largest holds. ``geo`` is a TIFF's
+    origin and pixel size (x0, y0, pixel_x, pixel_y)."""
 
     def step(rows: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros((count, height, width), np.uint8)
         np.maximum.at(image, (rows.band.to_numpy() - 1, rows.y.to_numpy(), rows.x.to_numpy()), rows.v.to_numpy().astype(np.uint8))
-        content = codecs.write_png(image) if form == "png" else codecs.write_tiff(image)
+        content = codecs.write_png(image) if form == "png" else codecs.write_tiff(image, geo=geo)
         return pd.DataFrame({"name": [f"{rows['name'].iloc[0]}.{form}"], "content": [content]})
 
     return pixels.groupBy("name").applyInPandas(step, "name string, content binary")
 
 
 def images(files: DataFrame, folder: str) -> DataFrame:
-    """Write (name, content) to files in a folder mounted on every executor; returns (name, bytes)
-    of what was written. A file appears whole or not at all, so a task that runs again does no harm."""
+    """Write (name, content) to files in a folder that all executors share, by its scheme; returns
+    (name, bytes) of what was written. A file appears whole or not at all, so a task that runs again
+    does no harm."""
 
     def step(batches):
-        os.makedirs(folder, exist_ok=True)
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
         for rows in batches:
             for name, content in zip(rows["name"], rows.content):
-                part = os.path.join(folder, f".{name}.{os.getpid()}")
-                with open(part, "wb") as out:
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
                     out.write(content)
-                os.replace(part, os.path.join(folder, name))
+                store.move(part, f"{base}/{name}")
             yield pd.DataFrame({"name": rows["name"], "bytes": rows.content.map(len)})
 
     return files.mapInPandas(step, "name string, bytes bigint")

@@ -168,3 +168,73 @@ def test_areas_and_holes():
 
 def test_blur_keeps_a_constant():
     assert np.allclose(kernels.blur(np.full((12, 12), 7.0)), 7.0)
+
+
+def test_areas_are_numbered_by_their_first_pixel():
+    mask = np.array([[0, 1, 0, 1], [1, 0, 0, 1], [0, 0, 0, 0], [1, 1, 0, 1]])
+    assert kernels.areas(mask).tolist() == [[0, 1, 0, 2], [3, 0, 0, 2], [0, 0, 0, 0], [4, 4, 0, 5]]
+    assert kernels.areas(mask, corners=True).tolist() == [[0, 1, 0, 2], [1, 0, 0, 2], [0, 0, 0, 0], [3, 3, 0, 4]]
+    assert not kernels.areas(np.zeros((2, 3))).any()
+
+
+def test_medial_axis():
+    mask = np.zeros((7, 7), int)
+    mask[1:6, 2:5] = 1
+    ridge = np.array([[0, 0, 0, 0, 0, 0, 0], [0, 0, 1, 0, 1, 0, 0], [0, 0, 0, 1, 0, 0, 0], [0, 0, 0, 1, 0, 0, 0], [0, 0, 0, 1, 0, 0, 0], [0, 0, 1, 0, 1, 0, 0], [0, 0, 0, 0, 0, 0, 0]])
+    assert (kernels.medial_axis(mask) == ridge).all()
+    rng = np.random.default_rng(0)
+    for _ in range(10):  # areas and holes stay
+        mask = kernels.dilate((rng.random((40, 40)) > 0.96).astype(int), 5)
+        axis = kernels.medial_axis(mask)
+        assert kernels.areas(mask, True).max() == kernels.areas(axis, True).max() and (axis <= mask).all()
+        assert kernels.areas(1 - np.pad(mask, 1)).max() == kernels.areas(1 - np.pad(axis, 1)).max()
+
+
+def test_distances():
+    rng = np.random.default_rng(1)
+    mask = (rng.random((12, 17)) > 0.3).astype(int)
+    off = np.argwhere(mask == 0)
+    assert np.allclose(kernels.distances(mask), [[np.sqrt(((off - [y, x]) ** 2).sum(1).min()) for x in range(17)] for y in range(12)])
+
+
+def test_paths_by_rounds_are_those_of_one_task_also_for_zero_weights(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(25), rng.randrange(25), float(rng.choice([0, 0, 1, 2, 5]))) for _ in range(40)] + [(0, 1, 0.0), (1, 2, 0.0), (2, 0, 0.0)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint, weight double")
+    one, rounds = ({r.node: (r.distance, r.before) for r in graph.shortest_paths(df, 0, kernel_edges=k).collect()} for k in (10**6, 0))
+    assert one == rounds
+    for node in one:  # ways end at the source
+        for _ in range(30):
+            node = one[node][1] if node else 0
+        assert node == 0
+
+
+def test_greedy_match_by_rounds_and_in_one_task(spark):
+    rng = random.Random(5)
+    pairs = [(s, e, float(rng.randrange(30))) for s in range(40) for e in range(s + 1, 40) if rng.random() < 0.2] + [(100 + k, 101 + k, float(200 - k)) for k in range(60)]
+    df = spark.createDataFrame(pairs, "s bigint, e bigint, d double")
+    used, want = set(), set()
+    for s, e, d in sorted(pairs, key=lambda p: (p[2], p[0], p[1])):
+        if not used & {s, e}:
+            used |= {s, e}
+            want.add((s, e, d))
+    for k in (10**6, 100, 20):
+        assert {tuple(r) for r in graph.greedy_match(df, kernel_pairs=k).collect()} == want
+
+
+def test_spurs_at_the_rim_stay(spark):
+    edges = [(1, 2, 100.0), (2, 3, 100.0), (2, 4, 5.0), (3, 5, 5.0), (7, 7, 1.0)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint, weight double")
+    rim = spark.createDataFrame([(5,)], "node bigint")
+    kept = lambda **o: {(r.u, r.v) for r in graph.prune_spurs(df, 30.0, **o).collect()}
+    assert kept() == {(1, 2), (2, 3)} and kept(rim=rim) == {(1, 2), (2, 3), (3, 5)}
+
+
+def test_components_by_stars_and_in_one_task(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500 + k, 501 + k) for k in range(50)] + [(9, 9), (777, 777)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint").repartition(5)
+    want = {n: p for n, p in brute_parts([e for e in edges if e[0] != e[1]]).items()}
+    for limit in (10**6, 0, 40):
+        assert {r.node: r.component for r in graph.components(df, limit).collect()} == want
+    assert graph.components(df.limit(0)).count() == 0

@@ -23,6 +23,33 @@ def test_geojson(spark, tmp_path):
     assert [(r.properties["highway"], r.kind, r.points) for r in found] == [("primary", "LineString", [[0, 1], [2, 3]])]
 
 
+def test_geojson_kinds(spark, tmp_path):
+    feature = lambda kind, coordinates: {"type": "Feature", "properties": {"n": 1.5, "none": None}, "geometry": {"type": kind, "coordinates": coordinates}}
+    kinds = [feature("Point", [1, 2]), feature("MultiLineString", [[[0, 1, 9], [2, 3, 9]], [[4, 5], [6, 7]]]), {"type": "Feature", "properties": {}, "geometry": None}]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "crs": {"x": 1}, "features": kinds}))
+    found = files.geojson(spark, str(tmp_path)).orderBy("feature", "part").collect()
+    assert [(r.feature, r.kind, r.part, r.points) for r in found] == [
+        (0, "Point", 0, [[1, 2]]), (1, "MultiLineString", 0, [[0, 1, 9], [2, 3, 9]]), (1, "MultiLineString", 1, [[4, 5], [6, 7]]), (2, None, None, None)
+    ]
+    assert found[0].properties == {"n": "1.5", "none": None}
+
+
+def test_geojson_sink_is_read_back(spark, tmp_path):
+    df = spark.sql("SELECT id % 2 AS image, id, map('highway', 'primary') AS properties, named_struct('type', 'LineString', 'coordinates', array(array(id * 1.5D, 2D), array(3D, 4D))) AS geometry FROM range(6)")
+    sinks.geojson(df.repartition(3), str(tmp_path / "out"), "image", "id")
+    parts = sorted((tmp_path / "out").glob("image=*/part-*"))
+    assert [len(json.loads(p.read_text())["features"]) for p in parts] == [3, 3]
+    assert sorted(r.points[0][0] for r in files.geojson(spark, str(tmp_path / "out")).collect()) == [0, 1.5, 3, 4.5, 6, 7.5]
+
+
+def test_bands_are_oriented():
+    import numpy as np
+
+    assert files.oriented(np.zeros((8, 30, 40))).shape == (8, 30, 40)
+    assert files.oriented(np.zeros((30, 40, 3))).shape == (3, 30, 40)
+    assert files.oriented(np.zeros((30, 40))).shape == (1, 30, 40)
+
+
 def test_listing(spark, tmp_path):
     (tmp_path / "a.tif").write_bytes(b"abc")
     (tmp_path / "b.txt").write_bytes(b"abc")
