@@ -25,9 +25,14 @@ def image_edges(image_id: int, mask: np.ndarray, least_spur: float = 10.0, round
 
     A round drops the dead ends whose edge is shorter than ``least_spur``, except edges with an end
     within ``border`` pixels of the image's rim; rounds end when nothing is dropped."""
-    nodes, edges = kernels.skeleton_paths(kernels.thin(mask))
+    return skeleton_edges(image_id, kernels.thin(mask), least_spur, rounds, border)
+
+
+def skeleton_edges(image_id: int, skeleton: np.ndarray, least_spur: float = 10.0, rounds: int = 8, border: int = 4) -> pd.DataFrame:
+    """`image_edges` of a skeleton."""
+    nodes, edges = kernels.skeleton_paths(skeleton)
     edges = [(*e, kernels.path_length(e[2])) for e in edges]
-    high = max(mask.shape) - border
+    high = max(skeleton.shape) - border
     at_rim = lambda k: any(c < border or c > high for c in nodes[k])
     for _ in range(rounds):
         degree = Counter(k for u, v, *_ in edges for k in (u, v))
@@ -122,6 +127,17 @@ def image_lines(edges: pd.DataFrame) -> list[str]:
     return out
 
 
+def without_parts(parallel: DataFrame, *by: str) -> DataFrame:
+    """``parallel`` (by..., key, points as texts) without the lines that are part, in either direction,
+    of another of the same edge (by...) with a smaller key. An edge's parallel lines are few, so they
+    meet in one row."""
+    text = lambda points: F.array_join(points, ", ")
+    every = parallel.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("key", "points"))).alias("every"))
+    part = lambda a, b: (b["key"] < a["key"]) & (F.contains(text(b["points"]), text(a["points"])) | F.contains(text(b["points"]), text(F.reverse(a["points"]))))
+    kept = F.filter("every", lambda a: ~F.exists("every", lambda b: part(a, b)))
+    return every.select(*by, F.explode(kept).alias("l")).select(*by, "l.key", "l.points")
+
+
 def dead_ends(edges: DataFrame) -> DataFrame:
     """(image_id, id, y, x, y2, x2): nodes of one edge, and where that edge leads; ids are unique
     over all images of fewer than 2^32 nodes each."""

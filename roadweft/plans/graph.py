@@ -48,7 +48,6 @@ TEMPLATES = {
     "sort_pair_dist": f"WITH {NEAR} SELECT s, e, CAST(row_number() OVER (ORDER BY d, s, e) AS BIGINT) AS place FROM pair",
     "join_path_edge": f"WITH {DENSE}, best AS (SELECT u, v, ord, weight, row_number() OVER (PARTITION BY u, v ORDER BY weight, ord, line) AS rank FROM dense) SELECT u, v, ord, weight AS length FROM best WHERE rank = 1",
     "gr_route_coords": f"WITH {NODE}, r AS (SELECT node, lat, lon, lead(lat) OVER (ORDER BY node) AS lat2, lead(lon) OVER (ORDER BY node) AS lon2 FROM node) SELECT node, lon AS x0, lat AS y0, lon2 AS x1, lat2 AS y1, {_ROUND(_HAV, 3)} AS length FROM r WHERE lat2 IS NOT NULL",
-    "set_line_substr_dedup": "WITH l AS (SELECT DISTINCT p_type AS a, concat(p_brand, p_type) AS b FROM {part}) SELECT x.a, x.b FROM l x WHERE NOT EXISTS (SELECT 1 FROM l y WHERE y.b <> x.b AND (contains(y.b, x.b) OR contains(reverse(y.b), x.b)))",
 }
 
 QUERIES, ORACLE_SQL = both(TEMPLATES)
@@ -125,3 +124,38 @@ ORACLE_SQL |= {
         d(node, dist) USING KEY (node) AS (SELECT CAST(0 AS BIGINT), 0e0 UNION SELECT s.v, min(d.dist + s.weight) FROM d JOIN sym s ON s.u = d.node LEFT JOIN recurring.d r ON r.node = s.v WHERE r.dist IS NULL OR d.dist + s.weight < r.dist GROUP BY s.v)
         SELECT node, round_even(dist * 1000, 0) / 1000 AS distance FROM d"""),
 }
+
+# chains: maximal runs of inner nodes, named by their smallest
+_CHAIN = f"""{SPARSE}, {DEGREE}, inner_ AS (SELECT node FROM degree WHERE degree = 2 AND neighbours = 2 AND loops = 0),
+    isym AS (SELECT u, v FROM sparse WHERE u IN (SELECT node FROM inner_) AND v IN (SELECT node FROM inner_) UNION SELECT v, u FROM sparse WHERE u IN (SELECT node FROM inner_) AND v IN (SELECT node FROM inner_)),
+    reach(node, root) AS (SELECT node, node FROM inner_ UNION SELECT s.v, r.root FROM reach r JOIN isym s ON s.u = r.node WHERE r.root < s.v),
+    parts AS (SELECT node, min(root) AS chain FROM reach GROUP BY node),
+    marked AS (SELECT s.u, s.v, s.weight, coalesce(a.chain, b.chain) AS chain, a.node AS a, b.node AS b FROM sparse s LEFT JOIN parts a ON s.u = a.node LEFT JOIN parts b ON s.v = b.node)"""
+# all shortest paths within components of at most 20 nodes
+_FAR = f"""{REACH}, small AS (SELECT component, CAST(count(*) AS BIGINT) AS nodes FROM parts GROUP BY component HAVING count(*) <= 20),
+    own AS (SELECT p.node, p.component, s.nodes FROM parts p JOIN small s ON s.component = p.component),
+    arc AS (SELECT u, v, weight FROM sparse WHERE u IN (SELECT node FROM own) UNION ALL SELECT v, u, weight FROM sparse WHERE u IN (SELECT node FROM own)),
+    d(s, node, dist) USING KEY (s, node) AS (SELECT node, node, 0e0 FROM own UNION SELECT d.s, a.v, min(d.dist + a.weight) FROM d JOIN arc a ON a.u = d.node LEFT JOIN recurring.d r ON r.s = d.s AND r.node = a.v WHERE r.dist IS NULL OR d.dist + a.weight < r.dist GROUP BY d.s, a.v),
+    far AS (SELECT o.component, o.nodes, max(d.dist) AS longest FROM d JOIN own o ON o.node = d.s GROUP BY o.component, o.nodes)"""
+
+
+def _pruned(rounds: int, least: int) -> str:
+    """Rounds written out one after the other."""
+    text = f"{SPARSE}, e0 AS (SELECT u, v, weight FROM sparse)"
+    for k in range(rounds):
+        text += f""", n{k} AS (SELECT u AS node, weight FROM e{k} UNION ALL SELECT v, weight FROM e{k}), b{k} AS (SELECT node FROM n{k} GROUP BY node HAVING count(*) = 1 AND max(weight) < {least}),
+            e{k + 1} AS (SELECT * FROM e{k} WHERE u NOT IN (SELECT node FROM b{k}) AND v NOT IN (SELECT node FROM b{k}))"""
+    return f"WITH {text} SELECT u, v, weight FROM e{rounds} WHERE u <> v"
+
+
+ORACLE_SQL |= {
+    "gr_paths": _duck(f"WITH RECURSIVE {_CHAIN} SELECT chain, CAST(count(*) AS BIGINT) AS edges, CAST(count(DISTINCT coalesce(a, b)) AS BIGINT) AS inner_nodes FROM marked WHERE chain IS NOT NULL GROUP BY chain"),
+    "gr_simplify": _duck(f"""WITH RECURSIVE {_CHAIN}, tips AS (SELECT chain, min(CASE WHEN a IS NULL THEN u WHEN b IS NULL THEN v END) AS low, max(CASE WHEN a IS NULL THEN u WHEN b IS NULL THEN v END) AS high, sum(weight) AS length, CAST(count(*) AS BIGINT) AS pieces FROM marked WHERE chain IS NOT NULL GROUP BY chain)
+        SELECT u, v, round_even(weight * 1000, 0) / 1000 AS length, CAST(1 AS BIGINT) AS pieces FROM marked WHERE chain IS NULL UNION ALL SELECT coalesce(low, chain), coalesce(high, chain), round_even(length * 1000, 0) / 1000, pieces FROM tips"""),
+    "gr_apsp": _duck(f"WITH RECURSIVE {_FAR} SELECT component, nodes, round_even(longest * 1000, 0) / 1000 AS longest FROM far"),
+    "gr_clean_sub": _duck(f"WITH RECURSIVE {_FAR} SELECT s.u, s.v FROM sparse s JOIN parts p ON p.node = s.u WHERE p.component NOT IN (SELECT component FROM far WHERE longest < 400000)"),
+    "gr_prune_spur": _duck(_pruned(8, 50_000)),
+    "gr_clean_intersect": _duck(f"""WITH RECURSIVE {NEAR}, sym AS (SELECT s AS u, e AS v FROM pair WHERE d < 30 UNION SELECT e, s FROM pair WHERE d < 30),
+        reach(node, root) AS (SELECT u, u FROM sym UNION SELECT s.v, r.root FROM reach r JOIN sym s ON s.u = r.node WHERE r.root < s.v), parts AS (SELECT node, min(root) AS component FROM reach GROUP BY node)
+        SELECT coalesce(p.component, t.id) AS cluster, round_even(avg(t.x) * 1000, 0) / 1000 AS x, round_even(avg(t.y) * 1000, 0) / 1000 AS y, CAST(count(*) AS BIGINT) AS n FROM terminal t LEFT JOIN parts p ON p.node = t.id GROUP BY 1"""),
+}

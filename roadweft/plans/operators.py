@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadweft.functions import geo, names, rasters, rounded, speeds, tiles, travel
+from roadweft.operators import lines
 from roadweft.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -483,6 +484,17 @@ def agg_extent(spark: SparkSession, sf: str) -> DataFrame:
     return polylines(spark, sf).groupBy("label").agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), (F.max("y") - F.min("y")).alias("range_y"))
 
 
+@query
+def set_line_substr_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Parallel lines along one way, from and to different points of it, half of them turned."""
+    rows = table(spark, sf, "lineitem")
+    order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    first = F.col("l_suppkey") % 3
+    steps = F.transform(F.sequence(first, first + F.col("l_linenumber")), lambda i: F.concat(i.cast("string"), F.lit(".0 "), (i * i).cast("string"), F.lit(".0")))
+    own = rows.select(F.col("l_partkey").alias("edge"), F.row_number().over(order).alias("key"), F.when(F.col("l_orderkey") % 2 == 0, F.reverse(steps)).otherwise(steps).alias("points"))
+    return lines.without_parts(own, "edge").select("edge", F.col("key").cast("bigint").alias("key"), F.array_join("points", ", ").alias("line"))
+
+
 # rasters
 
 
@@ -605,6 +617,10 @@ ORACLE_SQL = {
     "scan_lookup_img": """SELECT 'im' || p_partkey AS image_id, CASE WHEN s_suppkey IS NULL THEN NULL WHEN s_suppkey % 2 = 0 THEN 'RGB-PanSharpen_im' || s_suppkey || '.tif' WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'im' || s_suppkey || '.tif' END AS image
         FROM part LEFT JOIN supplier ON p_partkey = s_suppkey""",
     "ds_imageprovider": "SELECT row_number() OVER (ORDER BY page_id) - 1 AS idx, lpad(CAST(page_id AS VARCHAR), 9, '0') || '_RGB.tif' AS name FROM pages WHERE page_id % 3 = 0",
+    "set_line_substr_dedup": """WITH p AS (SELECT l_partkey AS edge, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS key, l_orderkey % 2 = 0 AS turned,
+            list_transform(range(l_suppkey % 3, l_suppkey % 3 + l_linenumber + 1), lambda i: concat(i, '.0 ', i * i, '.0')) AS pts FROM lineitem),
+        l AS (SELECT edge, key, array_to_string(CASE WHEN turned THEN list_reverse(pts) ELSE pts END, ', ') AS line, array_to_string(CASE WHEN turned THEN pts ELSE list_reverse(pts) END, ', ') AS back FROM p)
+        SELECT edge, key, line FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.edge = a.edge AND b.key < a.key AND (contains(b.line, a.line) OR contains(b.line, a.back)))""",
     "fn_wkt_parse": """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 9 = 0 THEN 0 ELSE l_linenumber END AS n FROM lineitem)
         SELECT l_orderkey, l_linenumber, CAST(n AS BIGINT) AS n, CAST(coalesce(i - 1, -1) AS INT) AS i, l_suppkey + i + 0.5e0 AS x, CASE WHEN i IS NOT NULL THEN CAST(l_partkey AS DOUBLE) END AS y FROM l, LATERAL (SELECT unnest(CASE n WHEN 0 THEN [NULL] ELSE range(1, CAST(n AS BIGINT) + 1) END) AS i) t""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweft.functions import speeds
+from roadweft.operators import flow
 from roadweft.plans.dual import duck_query
 from roadweft.plans.kernels import images
 from roadweft.session import materialize, scratch, table
@@ -174,9 +175,23 @@ def sink_geotiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(materialize(sinks.encoded(own.unionByName(mask), 100, 100, 2), "tif"))
 
 
+def flow_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From predictions to the submission, written as CSV and read back: bands of a road mask of 100 x
+    100 pixels per image, all roads in band 7, the speed channel of a pixel by its image."""
+    own = images(spark, sf_dir)
+    step = F.sequence(F.lit(-3), F.lit(3))
+    spots = own.filter("v > 40").select("image_id", F.explode(F.transform(step, lambda k: F.col("y") + k)).alias("y"), "x")
+    wide = spots.select("image_id", "y", F.explode(F.transform(step, lambda k: F.col("x") + k)).alias("x")).filter("x BETWEEN 0 AND 99 AND y BETWEEN 0 AND 99").distinct()
+    bands = F.array(F.struct(F.lit(7).alias("band"), F.lit(255.0).alias("v")), F.struct((F.col("image_id") % 7).cast("int").alias("band"), F.lit(200.0).alias("v")))
+    predicted = wide.select("image_id", "y", "x", F.explode(bands).alias("b")).select("image_id", "y", "x", "b.band", "b.v")
+    path = scratch(spark, "solution")
+    sinks.csv(flow.solution(predicted, 100, 100, hole=30, close=3, open_=3), path)
+    return files.csv(spark, path, "ImageId string, WKT_Pix string, length_m double, travel_time_s double")
+
+
 PIXEL = "pixel AS (SELECT CAST(floor(l_partkey / 100) AS BIGINT) AS image_id, CAST(l_partkey % 100 AS INT) AS y, CAST(l_suppkey % 100 AS INT) AS x, max(l_quantity) AS v FROM {lineitem} GROUP BY 1, 2, 3)"
 
-QUERIES = {f.__name__: f for f in (sink_csv, scan_csv, sink_if_absent, sink_geojson, scan_geojson, scan_geodf, scan_csv_idx, scan_config, scan_glob, scan_raster_1, scan_raster_n, scan_raster_meta, sink_gpickle, scan_gpickle, sink_copy_split, scan_dir, sink_raster, sink_geotiff)}
+QUERIES = {f.__name__: f for f in (sink_csv, scan_csv, sink_if_absent, sink_geojson, scan_geojson, scan_geodf, scan_csv_idx, scan_config, scan_glob, scan_raster_1, scan_raster_n, scan_raster_meta, sink_gpickle, scan_gpickle, sink_copy_split, scan_dir, sink_raster, sink_geotiff, flow_solution)}
 ORACLE_SQL = {
     name: duck_query(sql)
     for name, sql in {
