@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadweft.functions import geo, names, rasters, rounded, speeds, tiles, travel
-from roadweft.operators import lines
+from roadweft.operators import geograph, lines
+from roadweft.plans.dual import duck_query
+from roadweft.plans.geometry import UTM
 from roadweft.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -435,7 +437,12 @@ def _utm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fn_utm_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return _utm(spark, sf).select("node", "zone", rounded(F.col("east"), 3).alias("east"), rounded(F.col("north"), 3).alias("north"))
+    """All nodes in the zone of the first one, with its band's letter."""
+    own = nodes(spark, sf)
+    first = own.agg(F.min_by(F.struct("lat", "lon"), "node").alias("at"))  # one row
+    zone = first.select(geo.utm_zone(F.col("at.lon")).alias("zone"), geo.utm_band(F.col("at.lat")).alias("letter"))
+    east, north = geo.utm(F.col("lat"), F.col("lon"), F.col("zone"))
+    return own.crossJoin(zone).select("node", "zone", "letter", rounded(east, 3).alias("east"), rounded(north, 3).alias("north"))
 
 
 @query
@@ -443,12 +450,33 @@ def gr_node_geo(spark: SparkSession, sf: str) -> DataFrame:
     return _utm(spark, sf).select("node", "lat", "lon", "zone", rounded(F.col("east"), 2).alias("utm_east"), rounded(F.col("north"), 2).alias("utm_north"))
 
 
+def road_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """image_id, u, v, points in pixels: an edge of three points per line, at most 500 pixels wide."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    p, k = F.col("l_partkey"), F.col("l_linenumber")
+    points = F.array(at(p % 500, F.col("l_suppkey") % 500), at(p % 500 + k, F.col("l_suppkey") % 500), at(p % 500 + k, F.col("l_suppkey") % 500 + 2 * k))
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") % 16).alias("image_id"), F.col("l_orderkey").alias("u"), k.cast("bigint").alias("v"), points.alias("points"))
+
+
+def _meta(spark: SparkSession) -> DataFrame:
+    """Sixteen images of pixels of 0.000003 degrees."""
+    key = F.col("id")
+    return spark.range(16).select(key.alias("image_id"), (-115.5 + 0.25 * key).alias("x0"), (36.0 + 0.5 * key).alias("y0"), F.lit(3e-6).alias("pixel_x"), F.lit(-3e-6).alias("pixel_y"))
+
+
 @query
 def gr_edge_geo(spark: SparkSession, sf: str) -> DataFrame:
-    own = _utm(spark, sf).select("node", "east", "north")
-    other = own.select(F.col("node").alias("v"), F.col("east").alias("east2"), F.col("north").alias("north2"))
-    length = geo.distance(F.col("east"), F.col("north"), F.col("east2"), F.col("north2"))
-    return own.join(other, F.col("v") == F.col("node") + 1).select(F.col("node").alias("u"), "v", rounded(length, 2).alias("length_utm"))
+    """Lengths of edges along their vertices in the zone of their image's first edge."""
+    found = geograph.measured(geograph.projected(geograph.located(road_edges(spark, sf), _meta(spark))))
+    return found.select("image_id", "u", "v", "utm_zone", "utm_letter", rounded(F.col("length_latlon"), 9).alias("length_latlon"), rounded(F.col("length"), 3).alias("length_m"))
+
+
+@query
+def gr_project(spark: SparkSession, sf: str) -> DataFrame:
+    """Vertices of edges in EPSG:3857."""
+    found = geograph.projected(geograph.located(road_edges(spark, sf), _meta(spark)), "3857")
+    rows = found.select("image_id", "u", "v", F.posexplode("points_3857").alias("i", "p"))
+    return rows.select("image_id", "u", "v", "i", rounded(F.col("p.x"), 3).alias("x"), rounded(F.col("p.y"), 3).alias("y"))
 
 
 @query
@@ -587,6 +615,17 @@ def agg_loss_mix(spark: SparkSession, sf: str) -> DataFrame:
     return _predicted(spark, sf).groupBy("fold").agg(rounded(rasters.mixed_loss(F.col("p"), F.col("t")), 6).alias("loss"))
 
 
+_ROAD = """road AS (SELECT row_number() OVER () AS rid, l_orderkey % 16 AS image_id, l_orderkey AS u, CAST(l_linenumber AS BIGINT) AS v, -115.5e0 + 0.25e0 * (l_orderkey % 16) AS x0, 36e0 + 0.5e0 * (l_orderkey % 16) AS y0,
+    [l_partkey % 500, l_partkey % 500 + l_linenumber, l_partkey % 500 + l_linenumber] AS cols, [l_suppkey % 500, l_suppkey % 500, l_suppkey % 500 + 2 * l_linenumber] AS rows_ FROM lineitem),
+    spot AS (SELECT rid, image_id, u, v, unnest(range(0, 3)) AS i, unnest(list_transform(cols, lambda c: c * 3e-6 + x0)) AS lon, unnest(list_transform(rows_, lambda r: r * -3e-6 + y0)) AS lat FROM road)"""
+# UTM by the series of Krueger in the third flattening, published apart from Snyder's; they agree to a millimetre near the meridian
+_KRUEGER = """zone AS (SELECT image_id, CAST(floor((arg_min(lon, [u, v, i]) + 180) / 6) + 1 AS INT) AS utm_zone, substring('CDEFGHJKLMNPQRSTUVWXX', 1 + CAST(floor((arg_min(lat, [u, v, i]) + 80) / 8) AS INT), 1) AS utm_letter FROM spot GROUP BY image_id),
+    c AS (SELECT *, f / (2 - f) AS n FROM (SELECT 1 / 298.257223563e0 AS f) q),
+    k AS (SELECT 6378137e0 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS big, n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 AS a1, 13 * n * n / 48 - 3 * pow(n, 3) / 5 AS a2, 61 * pow(n, 3) / 240 AS a3, 2 * sqrt(n) / (1 + n) AS e FROM c),
+    t AS (SELECT s.*, z.utm_zone, z.utm_letter, k.*, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, radians(lon - (utm_zone * 6 - 183)) AS dl FROM spot s JOIN zone z USING (image_id) CROSS JOIN k),
+    x AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM t),
+    utm AS (SELECT rid, image_id, u, v, i, lon, lat, utm_zone, utm_letter, 0.9996e0 * big * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS east,
+        0.9996e0 * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS north FROM x)"""
 _CROP = """CASE WHEN {b} <= {s} OR ceil(({b} - {p}) / ({s} - {p})) = 1 THEN [0] ELSE list_append(
     range(0, CAST({b} - {s} AS BIGINT), CAST({s} - floor(({s} * ceil(({b} - {p}) / ({s} - {p})) - {b}) / (ceil(({b} - {p}) / ({s} - {p})) - 1)) AS BIGINT)), CAST({b} - {s} AS BIGINT)) END"""
 _SIZED = "sized AS (SELECT p_partkey AS image_id, 1400e0 + 60 * p_size AS w, 1300e0 + 200 * (p_partkey % 7) AS h FROM part)"
@@ -617,6 +656,11 @@ ORACLE_SQL = {
     "scan_lookup_img": """SELECT 'im' || p_partkey AS image_id, CASE WHEN s_suppkey IS NULL THEN NULL WHEN s_suppkey % 2 = 0 THEN 'RGB-PanSharpen_im' || s_suppkey || '.tif' WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'im' || s_suppkey || '.tif' END AS image
         FROM part LEFT JOIN supplier ON p_partkey = s_suppkey""",
     "ds_imageprovider": "SELECT row_number() OVER (ORDER BY page_id) - 1 AS idx, lpad(CAST(page_id AS VARCHAR), 9, '0') || '_RGB.tif' AS name FROM pages WHERE page_id % 3 = 0",
+    "gr_project": f"WITH {_ROAD} SELECT image_id, u, v, CAST(i AS INT) AS i, round_even(6378137e0 * radians(lon) * 1e3, 0) / 1e3 AS x, round_even(6378137e0 * ln(tan(pi() / 4 + radians(lat) / 2)) * 1e3, 0) / 1e3 AS y FROM spot",
+    "gr_edge_geo": f"""WITH {_ROAD}, {_KRUEGER}, leg AS (SELECT *, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, lead(east) OVER w AS east2, lead(north) OVER w AS north2 FROM utm WINDOW w AS (PARTITION BY rid ORDER BY i))
+        SELECT image_id, u, v, utm_zone, utm_letter, round_even(sum(sqrt(pow(lon2 - lon, 2) + pow(lat2 - lat, 2))) * 1e9, 0) / 1e9 AS length_latlon, round_even(sum(sqrt(pow(east2 - east, 2) + pow(north2 - north, 2))) * 1e3, 0) / 1e3 AS length_m
+        FROM leg WHERE lon2 IS NOT NULL GROUP BY rid, image_id, u, v, utm_zone, utm_letter""",
+    "fn_utm_forward": duck_query(f"WITH {UTM} SELECT node, zone, substring('CDEFGHJKLMNPQRSTUVWXX', 1 + CAST(floor((36e0 + 80e0) / 8e0) AS INT), 1) AS letter, round_even(east * 1e3, 0) / 1e3 AS east, round_even(north * 1e3, 0) / 1e3 AS north FROM utm"),
     "set_line_substr_dedup": """WITH p AS (SELECT l_partkey AS edge, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS key, l_orderkey % 2 = 0 AS turned,
             list_transform(range(l_suppkey % 3, l_suppkey % 3 + l_linenumber + 1), lambda i: concat(i, '.0 ', i * i, '.0')) AS pts FROM lineitem),
         l AS (SELECT edge, key, array_to_string(CASE WHEN turned THEN list_reverse(pts) ELSE pts END, ', ') AS line, array_to_string(CASE WHEN turned THEN pts ELSE list_reverse(pts) END, ', ') AS back FROM p)

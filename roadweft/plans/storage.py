@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import dataclasses
+import io
 import json
+import tarfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweft.functions import speeds
-from roadweft.operators import flow
+from roadweft.operators import flow, scoring
 from roadweft.plans.dual import duck_query
 from roadweft.plans.kernels import images
 from roadweft.session import materialize, scratch, table
@@ -103,6 +106,53 @@ def sink_gpickle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_graph(spark, sf_dir)[1].select(F.col("image_id").cast("bigint").alias("image_id"), "u", "v", "weight")
 
 
+def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads of two points and a bend per order, as image_id, pos, points and attributes."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    key = F.col("o_orderkey")
+    points = F.array(at(key, F.lit(0)), at(key, F.col("o_custkey")), at(key * 2, F.col("o_totalprice")))
+    attributes = F.create_map(F.lit("id"), key.cast("string"), F.lit("priority"), F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select((key % 8).alias("image_id"), key.alias("pos"), points.alias("points"), attributes.alias("attributes"))
+
+
+def sink_shp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapefiles written: their names, and how long each must be by its lines."""
+    written = materialize(sinks.shapefiles(_ways(spark, sf_dir), "image_id"), "shp")
+    return written.select("name", F.length("content").cast("bigint").alias("bytes"))
+
+
+def scan_shp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and attributes of the shapefiles as they were written."""
+    found = files.shapefiles(materialize(sinks.shapefiles(_ways(spark, sf_dir), "image_id"), "shp"))
+    p = F.col("points")
+    return found.select(F.col("name").cast("bigint").alias("image_id"), F.col("attributes")["id"].cast("bigint").alias("id"), F.col("attributes")["priority"].alias("priority"), p[1]["y"].alias("y1"), p[2]["x"].alias("x2"), p[2]["y"].alias("y2"))
+
+
+def sink_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four folds, archived, and listed from the archives."""
+    content = F.col("c_name").cast("binary")
+    own = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 4).alias("fold"), F.concat(F.col("c_custkey").cast("string"), F.lit(".txt")).alias("name"), content.alias("content"))
+
+    def listed(batches):
+        for rows in batches:
+            for name, raw in zip(rows["name"], rows.content):
+                with tarfile.open(fileobj=io.BytesIO(bytes(raw)), mode="r:gz") as tar:
+                    yield pd.DataFrame([(name, m.name, tar.extractfile(m).read().decode()) for m in tar.getmembers()], columns=["archive", "file", "text"])
+
+    return materialize(sinks.archive(own, "fold"), "tar").mapInPandas(listed, "archive string, file string, text string")
+
+
+def ml_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of one-band images by a model that halves and shifts them, flips averaged, border cut."""
+    own = sinks.encoded(_pixels(spark, sf_dir), 100, 100, 1, "png")
+    return _read_scores(scoring.score(own, lambda: lambda images: images / 100.0, flips=2, border=12, fold=1))
+
+
+def _read_scores(content: DataFrame) -> DataFrame:
+    found = files.pixels(files.bands(materialize(content, "scores")))
+    return found.select(F.regexp_extract("name", r"^fold1_(\d+)\.tif$", 1).cast("bigint").alias("image_id"), "y", "x", "v")
+
+
 def scan_gpickle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One image of a stored graph; only its partition is read."""
     return _stored_graph(spark, sf_dir)[0].filter("image_id = 5").select(F.col("image_id").cast("bigint").alias("image_id"), "node")
@@ -191,7 +241,7 @@ def flow_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PIXEL = "pixel AS (SELECT CAST(floor(l_partkey / 100) AS BIGINT) AS image_id, CAST(l_partkey % 100 AS INT) AS y, CAST(l_suppkey % 100 AS INT) AS x, max(l_quantity) AS v FROM {lineitem} GROUP BY 1, 2, 3)"
 
-QUERIES = {f.__name__: f for f in (sink_csv, scan_csv, sink_if_absent, sink_geojson, scan_geojson, scan_geodf, scan_csv_idx, scan_config, scan_glob, scan_raster_1, scan_raster_n, scan_raster_meta, sink_gpickle, scan_gpickle, sink_copy_split, scan_dir, sink_raster, sink_geotiff, flow_solution)}
+QUERIES = {f.__name__: f for f in (sink_csv, scan_csv, sink_if_absent, sink_geojson, scan_geojson, scan_geodf, scan_csv_idx, scan_config, scan_glob, scan_raster_1, scan_raster_n, scan_raster_meta, sink_gpickle, scan_gpickle, sink_copy_split, scan_dir, sink_raster, sink_geotiff, flow_solution, sink_shp, scan_shp, sink_archive, ml_score)}
 ORACLE_SQL = {
     name: duck_query(sql)
     for name, sql in {
@@ -208,6 +258,10 @@ ORACLE_SQL = {
         "scan_raster_1": f"WITH {PIXEL} SELECT image_id, CAST(1 AS INT) AS band, CAST(100 AS INT) AS height, CAST(100 AS INT) AS width, sum(v) AS sum, CAST(count(*) AS BIGINT) AS n FROM pixel GROUP BY image_id",
         "scan_raster_n": f"WITH {PIXEL} SELECT image_id, band, y, x, v * band AS v FROM pixel CROSS JOIN (SELECT * FROM (VALUES (1), (3)) AS b(band)) b",
         "scan_raster_meta": f"WITH {PIXEL} SELECT DISTINCT image_id, 1000.5e0 AS x0, 2000.25e0 AS y0, 0.3e0 AS pixel_x, -0.3e0 AS pixel_y FROM pixel",
+        "sink_shp": "WITH f AS (SELECT o_orderkey % 8 AS image_id, count(*) AS n FROM {orders} GROUP BY 1) SELECT concat(image_id, '.shp') AS name, CAST(100 + n * (8 + 4 + 32 + 12 + 3 * 16) AS BIGINT) AS bytes FROM f UNION ALL SELECT concat(image_id, '.shx'), 100 + 8 * n FROM f UNION ALL SELECT concat(image_id, '.dbf'), 32 + 2 * 32 + 1 + n * (1 + 2 * 254) + 1 FROM f",
+        "scan_shp": "SELECT o_orderkey % 8 AS image_id, o_orderkey AS id, o_orderpriority AS priority, CAST(o_custkey AS DOUBLE) AS y1, 2e0 * o_orderkey AS x2, o_totalprice AS y2 FROM {orders}",
+        "sink_archive": "SELECT concat(c_custkey % 4, '.tar.gz') AS archive, concat(c_custkey, '.txt') AS file, c_name AS text FROM {customer}",
+        "ml_score": f"WITH {PIXEL} SELECT image_id, y, x, CAST(floor(CAST(CAST(v AS FLOAT) / CAST(100 AS FLOAT) AS FLOAT) * CAST(255 AS FLOAT)) AS DOUBLE) AS v FROM pixel",
         "sink_gpickle": "SELECT l_partkey % 8 AS image_id, l_partkey AS u, l_suppkey AS v, l_quantity AS weight FROM {lineitem}",
         "scan_gpickle": "SELECT o_orderkey % 8 AS image_id, o_orderkey AS node FROM {orders} WHERE o_orderkey % 8 = 5",
         "sink_copy_split": "SELECT CASE WHEN c_custkey % 10 < 8 THEN 'train' ELSE 'test' END AS split, c_custkey, c_name FROM {customer}",

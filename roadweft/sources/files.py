@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadweft.sources import codecs
+from roadweft.sources import codecs, shapes
 
 IMAGES = "*.{tif,tiff,jpg,JPEG,JPG,png}"
 #: Coordinates are read as text, since they nest by the kind of geometry.
@@ -55,6 +55,21 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "feature", F.col("f.properties").alias("properties"), kind.alias("kind"), F.posexplode_outer(parts).alias("part", "points"))
 
 
+def shapefiles(files: DataFrame) -> DataFrame:
+    """(name, pos, part, points, attributes) of the lines of shapefiles (name, content), whose .shp and
+    .dbf are there; other files are passed over."""
+
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        content = {n.rsplit(".", 1)[-1]: bytes(c) for n, c in zip(rows["name"], rows.content)}
+        found = shapes.read_lines(content["shp"], content["dbf"]) if {"shp", "dbf"} <= set(content) else []
+        stem = rows["name"].iloc[0].rsplit(".", 1)[0]
+        out = [(stem, k, p, [{"x": x, "y": y} for x, y in line], a) for k, (parts, a) in enumerate(found) for p, line in enumerate(parts)]
+        return pd.DataFrame(out, columns=["name", "pos", "part", "points", "attributes"])
+
+    stems = files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"), "name", "content")
+    return stems.groupBy("stem").applyInPandas(lambda rows: step(rows), "name string, pos int, part int, points array<struct<x:double,y:double>>, attributes map<string,string>")
+
+
 def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a stored graph."""
     return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")

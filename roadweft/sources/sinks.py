@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import tarfile
 import uuid
 
 import numpy as np
@@ -10,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweft.sources import codecs
+from roadweft.sources import codecs, shapes
 
 
 def csv(df: DataFrame, path: str, overwrite: bool = True) -> None:
@@ -30,10 +33,41 @@ def geojson(df: DataFrame, path: str, by: str, order: str | None = None) -> None
     texts.select(by, whole.alias("value")).write.mode("overwrite").partitionBy(by).option("maxRecordsPerFile", 1).text(path)
 
 
-def graph(nodes: DataFrame, edges: DataFrame, folder: str, by: str = "image_id") -> None:
-    """Nodes and edges as parquet, one partition per image."""
-    nodes.write.mode("overwrite").partitionBy(by).parquet(f"{folder}/nodes")
-    edges.write.mode("overwrite").partitionBy(by).parquet(f"{folder}/edges")
+def graph(nodes: DataFrame, edges: DataFrame, folder: str, by: str = "image_id", srid: int | None = None) -> None:
+    """Nodes and edges as parquet, one partition per image; copies in another projection go below a
+    folder of their ``srid``."""
+    base = folder if srid is None else f"{folder}_{srid}"
+    nodes.write.mode("overwrite").partitionBy(by).parquet(f"{base}/nodes")
+    edges.write.mode("overwrite").partitionBy(by).parquet(f"{base}/edges")
+
+
+def shapefiles(df: DataFrame, by: str) -> DataFrame:
+    """(name, content): a shapefile's three files per value of ``by``, from columns points (x, y),
+    attributes (a map of strings) and pos, their order. An image's lines are few."""
+
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        lines = [[(p["x"], p["y"]) for p in line] for line in rows.points]
+        parts = shapes.write_lines(lines, [dict(a) for a in rows.attributes])
+        return pd.DataFrame({"name": [f"{rows[by].iloc[0]}.{end}" for end in ("shp", "shx", "dbf")], "content": parts})
+
+    return df.select(by, "pos", "points", "attributes").groupBy(by).applyInPandas(step, "name string, content binary")
+
+
+def archive(files: DataFrame, by: str) -> DataFrame:
+    """(name, content): a gzipped tar per value of ``by`` of files (by, name, content), in the order of
+    names and without times, so that reruns agree. A folder's files meet in one task."""
+
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        raw = io.BytesIO()
+        with tarfile.open(fileobj=raw, mode="w", format=tarfile.PAX_FORMAT) as tar:
+            for name, content in sorted(zip(rows["name"], rows.content)):
+                info = tarfile.TarInfo(name)
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+        return pd.DataFrame({"name": [f"{rows[by].iloc[0]}.tar.gz"], "content": [gzip.compress(raw.getvalue(), mtime=0)]})
+
+    return files.select(by, "name", "content").groupBy(by).applyInPandas(step, "name string, content binary")
 
 
 def split(df: DataFrame, path: str, column: str = "split") -> None:

@@ -152,3 +152,69 @@ def test_flow_leaves_out_short_graphs(spark):
     image[7, 57:64, :] = image[0, 57:64, :] = image[7, 20:27, 30:70] = 255
     wkt = lambda **o: len(flow.solution(predictions(spark, {1: image}), 120, 120, hole=100, **o).collect())
     assert wkt() == 2 and wkt(min_length=60.0) == 1
+
+
+def test_registered_sql_functions(spark):
+    from roadweft.functions.register import register, soft_dice
+
+    register(spark)
+    assert spark.sql("SELECT mph_to_mps(100D), burn_continuous(13D), burn_binned(21D), channel_of_burn(108)").first()[:] == (pytest.approx(44.704), 51.0, 108, 2)
+    assert sorted(r.start for r in spark.sql("SELECT start FROM tile_starts(3900)").collect()) == [0, 1280, 2560, 2600]
+    assert [tuple(r) for r in spark.sql("SELECT pos, x, y FROM wkt_points('LINESTRING (1 2, 3.5 4)') ORDER BY pos").collect()] == [(0, 1, 2), (1, 3.5, 4)]
+    assert spark.sql("SELECT * FROM wkt_points('LINESTRING EMPTY')").count() == 0
+    got = spark.sql("SELECT k, soft_dice(p, t) AS loss FROM VALUES (1, 0.5D, 1D), (1, 1D, 1D), (2, 0D, 1D) AS v(k, p, t) GROUP BY k ORDER BY k").collect()
+    import pandas as pd
+
+    assert [r.loss for r in got] == pytest.approx([soft_dice(pd.Series([0.5, 1.0]), pd.Series([1.0, 1.0])), soft_dice(pd.Series([0.0]), pd.Series([1.0]))])
+
+
+def test_scores_are_batched_padded_and_turned_back(spark, tmp_path):
+    from roadweft.operators import scoring
+    from roadweft.sources import codecs
+
+    rng = np.random.default_rng(3)
+    made = {f"im{k}.tif": rng.integers(0, 255, (3, 20 + k % 2, 30)).astype(np.uint8) for k in range(7)}
+    df = spark.createDataFrame([(n, codecs.write_tiff(i)) for n, i in made.items()], "name string, content binary").repartition(2)
+    seen = str(tmp_path / "seen")
+
+    def load():
+        def model(images):
+            with open(seen, "a") as out:
+                out.write(f"{len(images)} {images.shape[2]}x{images.shape[3]}\n")
+            ramp = np.linspace(0, 1, images.shape[3])[None, None, None]  # a model that flips don't commute with
+            return np.concatenate([images[:, :1] / 255 * ramp, images[:, 1:2] / 255], 1)
+
+        return model
+
+    found = {r["name"]: codecs.read(bytes(r.content))[0] for r in scoring.score(df, load, batch=2, flips=1, border=4, fold=3).collect()}
+    assert set(found) == {f"fold3_{n}" for n in made}
+    for name, image in made.items():
+        got = found[f"fold3_{name}"]
+        assert got.shape == (2, *image.shape[1:]) and (np.abs(got[1].astype(int) - image[1]) <= 1).all()
+        assert (np.abs(got[0].astype(int) - image[0] / 2) <= 1.01).all()  # the ramp and its mirror image make a half
+    assert {line.split()[1] for line in open(seen)} == {"28x38", "29x38"} and {int(line.split()[0]) for line in open(seen)} <= {1, 2}
+
+
+def test_shapefile_round_trip():
+    from roadweft.sources import shapes
+
+    lines = [[(0.0, 1.5), (2.0, -3.25)], [(5.0, 6.0), (7.0, 8.0), (9.0, 1e7)]]
+    shp, shx, dbf = shapes.write_lines(lines, [{"id": 1, "a_long_name_here": "x"}, {"id": 2, "a_long_name_here": None}])
+    assert [(parts, values) for parts, values in shapes.read_lines(shp, dbf)] == [([lines[0]], {"id": "1", "a_long_nam": "x"}), ([lines[1]], {"id": "2", "a_long_nam": ""})]
+    assert int.from_bytes(shp[24:28], "big") * 2 == len(shp) and int.from_bytes(shx[24:28], "big") * 2 == len(shx) == 100 + 16
+    assert shapes.read_lines(*[shapes.write_lines([], [])[k] for k in (0, 2)]) == []
+
+
+def test_utm_agrees_with_another_series(spark):
+    """Within a millimetre or two of the query's oracle by Krueger's series, as the lengths show."""
+    from roadweft.operators import geograph
+
+    edges = spark.createDataFrame([(1, 10, 11, [(0.0, 0.0), (100.0, 50.0)])], "image_id int, u int, v int, points array<struct<x:double,y:double>>")
+    meta = spark.createDataFrame([(1, -79.387139, 43.642567, 3e-6, -3e-6)], "image_id int, x0 double, y0 double, pixel_x double, pixel_y double")
+    row = geograph.measured(geograph.projected(geograph.located(edges, meta))).first()
+    assert (row.utm_zone, row.utm_letter) == (17, "T") and abs(row.points_utm[0].x - 630084) < 2 and abs(row.points_utm[0].y - 4833438) < 2
+    assert row.length == pytest.approx(np.hypot(100 * 3e-6 * 111320 * np.cos(np.radians(43.6425)), 50 * 3e-6 * 111050), rel=0.01)
+    assert row.geometry_latlon_wkt.startswith("LINESTRING (-79.387139 43.642567, ")
+    far = edges.select("image_id", "u", "v", F.expr("transform(points, p -> named_struct('x', p.x * 1000, 'y', p.y))").alias("points"))
+    with pytest.raises(Exception, match="too long"):
+        geograph.measured(geograph.projected(geograph.located(far, meta))).collect()
