@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 # a later module's query replaces an earlier one of the same name
-MODULES = ("labels", "raster", "geometry", "graph", "kernels", "lines", "storage", "numbered", "operators")
+MODULES = ("labels", "raster", "geometry", "graph", "kernels", "lines", "storage", "numbered", "operators", "tables")
 
 
 def _collect(attribute: str) -> dict:
