@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweft.llm import embedding_dedup, fingerprints, language_id, line_dedup, mixing, order_minhash, packing, token_counts, url_rules, warc
-from roadweft.session import lasting, table
+from roadweft.session import passing, scratch, table
 
 #: The rules of the URL filter's contract (fixed values).
 URL_RULES = (
@@ -33,8 +33,21 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+#: Session setting that names a folder in which token counts last from run to run.
+TOKEN_COUNTS = "spark.roadweft.tokenCounts"
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), lasting(spark, "token-counts"))
+    """Through the cache that the session names. Without one a run has a cache of its own, which a
+    first batch fills, one text in sixteen by its digest, as an earlier run would have; then all
+    documents are counted, so every run joins stored counts and encodes what they lack."""
+    docs, vocabulary = table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")
+    if folder := spark.conf.get(TOKEN_COUNTS, None):
+        return token_counts.count_tokens(docs, vocabulary, folder)
+    folder = scratch(spark, "token-counts")
+    early = docs.filter(F.sha2(F.coalesce("text", F.lit("")), 256).startswith("0"))
+    token_counts.count_tokens(early, vocabulary, folder)
+    return token_counts.count_tokens(docs, vocabulary, passing(spark, folder))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

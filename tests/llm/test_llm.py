@@ -517,6 +517,21 @@ def test_second_run_encodes_only_misses(spark, sf_dir, monkeypatch):
     assert token_counts.TokenCountCache(spark, cache, vocabulary).read().count() == distinct
 
 
+def test_token_query_through_lasting_and_own_caches(spark, sf_dir, monkeypatch):
+    docs = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}
+    truth = {i: len(t) for i, t in zip(docs, library("byte_bpe_50k.json", list(docs.values())))}
+    encoded, real = [], token_counts.encode_counts
+    monkeypatch.setattr(token_counts, "encode_counts", lambda texts, t: encoded.append(texts.select("digest").distinct().count()) or real(texts, t))
+    counted = lambda: {r.doc_id: r.n_tokens for r in queries.op3_token_counts(spark, sf_dir).collect()}
+    assert counted() == truth and len(encoded) == 2 and sum(encoded) == len(set(docs.values())) and encoded[0] > 0
+    spark.conf.set(queries.TOKEN_COUNTS, scratch(spark, "lasting"))
+    try:
+        encoded.clear()
+        assert counted() == truth and counted() == truth and encoded == [len(set(docs.values()))]
+    finally:
+        spark.conf.unset(queries.TOKEN_COUNTS)
+
+
 def test_hot_digest_is_counted(spark):
     rows = [(k, "one text that many share" if k % 3 else f"text {k}") for k in range(3000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
