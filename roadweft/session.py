@@ -43,11 +43,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def lasting(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that later runs find again."""
-    return f"{_shared(spark)}/roadweft-{name}"
-
-
 def _located(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
