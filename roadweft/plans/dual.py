@@ -1,6 +1,7 @@
-"""Queries stated once and rendered for Spark SQL and for DuckDB, the check's oracle.
+"""SQL for DuckDB, the check's oracle, from templates whose parts Spark SQL can also render.
 
-A template names a driver table as {table} and uses macros where the dialects differ:
+Queries are functions; their oracles stand here and in the modules of this package as templates. A few
+queries read a driver table through a part of a template (points, ways, buffers). A template names a driver table as {table} and uses macros where the dialects differ:
 @rint(x), @pct(v, p), @div(a, b), @series(a, b) (one row per integer), @at(array, i) from 0.
 Spark reads the tables' files directly, so pushdown and pruning reach the scans.
 """
@@ -73,6 +74,6 @@ def duck_query(template: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", render(template, DUCK))
 
 
-def both(templates: dict[str, str]) -> tuple[dict, dict]:
-    """(queries, oracle SQL) of templates by name."""
-    return {k: spark_query(v) for k, v in templates.items()}, {k: duck_query(v) for k, v in templates.items()}
+def oracles(templates: dict[str, str]) -> dict[str, str]:
+    """Oracle SQL of templates by name."""
+    return {k: duck_query(v) for k, v in templates.items()}

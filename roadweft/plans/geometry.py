@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadweft.plans.dual import both
+from roadweft.plans.dual import oracles
 from roadweft.plans.labels import _CHANNEL, _ROUND
 
 POLYLINE = "polyline AS (SELECT vec_id, label, CAST(i AS INT) AS i, CAST(@at(embedding, 2 * i) AS DOUBLE) AS x, CAST(@at(embedding, 2 * i + 1) AS DOUBLE) AS y FROM (SELECT vec_id, label, embedding, @series(0, 31) AS i FROM {embeddings}) e)"
@@ -46,7 +46,6 @@ TEMPLATES = {
     "agg_patch_multi": f"""WITH {LEVEL}, m AS (SELECT vec_id, max(z) AS top, sum(CASE WHEN z > 128 THEN z * {_CHANNEL} END) / sum(CASE WHEN z > 128 THEN z END) AS weighted FROM level GROUP BY vec_id),
         b AS (SELECT vec_id, channel, z, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, channel) AS rank FROM level)
         SELECT m.vec_id, {_ROUND('coalesce(weighted, -1e0)', 6)} AS weighted_mph, CASE WHEN z >= 128 THEN {_CHANNEL} ELSE -1e0 END AS argmax_mph FROM m JOIN b ON m.vec_id = b.vec_id WHERE rank = 1""",
-    "agg_median_top": f"WITH {PATCH}, t AS (SELECT vec_id, @pct(v, 0.8e0) AS cut FROM patch GROUP BY vec_id) SELECT p.vec_id, {_ROUND('@pct(v, 0.5e0)', 6)} AS median FROM patch p JOIN t ON p.vec_id = t.vec_id WHERE v >= cut GROUP BY p.vec_id",
     "agg_wmean_std": f"WITH m AS (SELECT l_suppkey, sum(l_quantity * l_extendedprice) / sum(l_quantity) AS mean FROM {{lineitem}} GROUP BY l_suppkey) SELECT l.l_suppkey, {_ROUND('max(mean)', 3)} AS mean, {_ROUND('sqrt(sum(l_quantity * (l_extendedprice - mean) * (l_extendedprice - mean)) / sum(l_quantity))', 3)} AS std FROM {{lineitem}} l JOIN m ON l.l_suppkey = m.l_suppkey GROUP BY l.l_suppkey",
     # the box [x - 4, x + 4] x [y - 4, y + 4] as an equi-join on exploded offsets
     "join_patch": """WITH pixel AS (SELECT l_partkey AS x, l_suppkey AS y, max(l_quantity) AS z FROM {lineitem} GROUP BY l_partkey, l_suppkey),
@@ -72,16 +71,11 @@ TEMPLATES = {
     "fn_haversine": f"WITH {PAIR} SELECT u, v, {_ROUND(_HAV, 3)} AS length FROM pair",
     "gr_edge_len": f"WITH {PAIR} SELECT u, v, {_ROUND(f'coalesce({_HAV}, 0e0)', 3)} AS length FROM pair",
     "fn_utm_zone": f"WITH {NODE} SELECT CAST(floor((avg(lon) + 180e0) / 6e0) + 1 AS INT) AS zone FROM node",
-    "fn_utm_forward": f"WITH {UTM} SELECT node, zone, {_ROUND('east', 3)} AS east, {_ROUND('north', 3)} AS north FROM utm",
     "gr_node_geo": f"WITH {UTM} SELECT u.node, n.lat, n.lon, u.zone, {_ROUND('u.east', 2)} AS utm_east, {_ROUND('u.north', 2)} AS utm_north FROM utm u JOIN node n ON u.node = n.node",
-    "gr_edge_geo": f"WITH {UTM} SELECT a.node AS u, b.node AS v, {_ROUND('sqrt((a.east - b.east) * (a.east - b.east) + (a.north - b.north) * (a.north - b.north))', 2)} AS length_utm FROM utm a JOIN utm b ON b.node = a.node + 1",
-    "gr_project": f"WITH {UTM} SELECT zone, CAST(count(*) AS BIGINT) AS nodes, {_ROUND('min(east)', 2)} AS min_east, {_ROUND('max(north)', 2)} AS max_north FROM utm GROUP BY zone",
     "fn_affine": "SELECT l_partkey AS col_, l_suppkey AS row_, l_partkey * 0.3e0 + 1000e0 AS x, l_suppkey * -0.3e0 + 2000e0 AS y FROM {lineitem}",
     "join_raster_meta": "WITH meta AS (SELECT n_nationkey AS image_id, 1000e0 * n_nationkey AS x0, 500e0 * n_nationkey AS y0, 0.3e0 AS pw, -0.3e0 AS ph FROM {nation}) SELECT c_custkey, c_custkey * pw + x0 AS x, c_custkey * ph + y0 AS y FROM {customer} JOIN meta ON c_nationkey = image_id",
-    "scan_raster_meta": "SELECT n_nationkey AS image_id, 1000e0 * n_nationkey AS x0, 0.3e0 AS pw, 4326 AS srid FROM {nation}",
     "fn_webmerc": f"WITH {NODE} SELECT node, {_ROUND('6378137e0 * radians(lon)', 3)} AS x, {_ROUND('6378137e0 * ln(tan(pi() / 4e0 + radians(lat) / 2e0))', 3)} AS y FROM node",
     "fn_wkt_format": "SELECT l_partkey, l_suppkey, l_linenumber, concat('LINESTRING (', CAST(l_suppkey AS STRING), '.0 ', CAST(l_partkey AS STRING), '.0, ', CAST(l_linenumber AS STRING), '.0 ', CAST(l_partkey AS STRING), '.0)') AS wkt FROM {lineitem}",
-    "fn_wkt_parse": "WITH w AS (SELECT l_partkey, concat('LINESTRING (', CAST(l_suppkey AS STRING), '.0 ', CAST(l_partkey AS STRING), '.0, 3.5 4.5)') AS wkt FROM {lineitem}), b AS (SELECT l_partkey, replace(replace(wkt, 'LINESTRING (', ''), ')', '') AS body FROM w) SELECT l_partkey, CAST(split_part(split_part(body, ', ', 1), ' ', 1) AS DOUBLE) AS x0, CAST(split_part(split_part(body, ', ', 1), ' ', 2) AS DOUBLE) AS y0, CAST(split_part(split_part(body, ', ', 2), ' ', 1) AS DOUBLE) AS x1 FROM b",
     "fn_line_length": f"WITH {SEGMENT} SELECT vec_id, {_ROUND('sum(length)', 6)} AS length FROM segment GROUP BY vec_id",
     "fn_line_project": f"WITH {SEGMENT} SELECT vec_id, i, {_ROUND('sum(length) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length', 6)} AS position FROM segment",
     "fn_flatten": f"WITH {POLYLINE} SELECT label, CAST(count(*) AS BIGINT) AS points FROM polyline GROUP BY label",
@@ -90,4 +84,5 @@ TEMPLATES = {
     "filt_lat": f"WITH {NODE} SELECT CAST(count(*) AS BIGINT) AS bad FROM node WHERE abs(lat) > 90",
 }
 
-QUERIES, ORACLE_SQL = both(TEMPLATES)
+QUERIES: dict = {}
+ORACLE_SQL = oracles(TEMPLATES)

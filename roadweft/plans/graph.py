@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadweft.functions import roadgraph, rounded
 from roadweft.operators import graph
-from roadweft.plans.dual import both, spark_query
+from roadweft.plans.dual import duck_query as _duck
+from roadweft.plans.dual import oracles, spark_query
 from roadweft.plans.geometry import _HAV, NODE
 from roadweft.plans.labels import _ROUND
 from roadweft.session import table
@@ -50,7 +52,7 @@ TEMPLATES = {
     "gr_route_coords": f"WITH {NODE}, r AS (SELECT node, lat, lon, lead(lat) OVER (ORDER BY node) AS lat2, lead(lon) OVER (ORDER BY node) AS lon2 FROM node) SELECT node, lon AS x0, lat AS y0, lon2 AS x1, lat2 AS y1, {_ROUND(_HAV, 3)} AS length FROM r WHERE lat2 IS NOT NULL",
 }
 
-QUERIES, ORACLE_SQL = both(TEMPLATES)
+ORACLE_SQL = oracles(TEMPLATES)
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,17 +94,28 @@ def gr_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.simplify(sparse(spark, sf_dir)).select("u", "v", (F.rint(F.col("length") * 1000) / 1000).alias("length"), "pieces")
 
 
+def terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, x, y: every 1500 keys fill another strip, so density is the same at any size."""
+    key = F.col("o_orderkey")
+    x = 1301 * F.floor(key / 1500) + key * 37 % 1301
+    return table(spark, sf_dir, "orders").select(key.alias("id"), x.cast("double").alias("x"), (key * 91 % 1297).cast("double").alias("y"))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = roadgraph.near_pairs(terminals(spark, sf_dir), 80.0, 24.0)
+    return found.select("s", "e", rounded(F.col("d"), 6).alias("d"))
+
+
 def topk_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.greedy_match(QUERIES["join_proximity"](spark, sf_dir).select("s", "e", "d")).select("s", "e")
+    return graph.greedy_match(_near(spark, sf_dir)).select("s", "e")
 
 
 def gr_clean_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = QUERIES["join_proximity"](spark, sf_dir).filter("d < 30")
-    points = spark_query(f"WITH {TERMINAL} SELECT id, x, y FROM terminal")(spark, sf_dir)
+    pairs, points = _near(spark, sf_dir).filter("d < 30"), terminals(spark, sf_dir)
     return graph.merge_points(points, pairs.select(F.col("s").alias("u"), F.col("e").alias("v")))
 
 
-QUERIES |= {
+QUERIES = {
     "gr_cc": gr_cc,
     "gr_largest_cc": gr_largest_cc,
     "gr_clean_sub": gr_clean_sub,
@@ -115,8 +128,6 @@ QUERIES |= {
     "gr_clean_intersect": gr_clean_intersect,
 }
 
-from roadweft.plans.dual import duck_query as _duck  # noqa: E402
-
 ORACLE_SQL |= {
     "gr_cc": _duck(f"WITH RECURSIVE {REACH} SELECT node, component FROM parts WHERE node IN (SELECT u FROM sparse WHERE u <> v UNION SELECT v FROM sparse WHERE u <> v)"),
     "gr_largest_cc": _duck(f"WITH RECURSIVE {REACH}, big AS (SELECT component FROM parts GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT u, v FROM sparse JOIN parts p ON p.node = u WHERE p.component IN (SELECT component FROM big)"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from roadweft.functions.speeds import CHANNEL_MPH, COLOR_FROM, COLORS, HIGHWAY, MPH, SKIP, VALID
-from roadweft.plans.dual import both
+from roadweft.plans.dual import oracles
 
 _quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 _LOOKUP = "(SELECT * FROM (VALUES " + ", ".join(f"({t}, {n}, {MPH[t][n > 2]})" for t in MPH for n in range(1, 13)) + ") AS v(type_, lanes_, mph0))"
@@ -31,14 +31,7 @@ _ROUND = lambda x, d: f"(@rint(({x}) * 1e{d}) / 1e{d})"
 
 TEMPLATES = {
     "join_speed_lookup": f"WITH {SPEED} SELECT road_type, lanes, surface, min(speed_mph) AS speed_mph, CAST(count(*) AS BIGINT) AS n FROM speed GROUP BY road_type, lanes, surface",
-    "fn_speed_rule": f"""WITH {SPEED}, {OSM}, rules AS (
-        SELECT 'sn3' AS dialect, image_id AS id, speed_mph FROM speed
-        UNION ALL
-        SELECT 'osm', way_id, CASE WHEN highway IN ({_quoted(SKIP)}) OR class <> 'highway' OR tunnel = 'yes' THEN -1e0 ELSE CAST(s.mph0 AS DOUBLE) END
-        FROM (SELECT osm.*, {_CLASS} AS road_type FROM osm) o LEFT JOIN {_LOOKUP} s ON o.road_type = s.type_ AND s.lanes_ = 2)
-        SELECT dialect, id, min(speed_mph) AS least_mph, max(speed_mph) AS most_mph, CAST(count(*) AS BIGINT) AS n FROM rules GROUP BY dialect, id""",
     "fn_highway_class": f"WITH {OSM} SELECT highway, coalesce({_CLASS}, 0) AS road_type, CAST(count(*) AS BIGINT) AS n FROM osm GROUP BY highway",
-    "filt_skipset": f"WITH {OSM} SELECT way_id, highway FROM osm WHERE highway NOT IN ({_quoted(SKIP)}) AND tunnel <> 'yes' AND class = 'highway'",
     "filt_roadtypes": f"WITH {OSM} SELECT way_id, lower(highway) AS highway FROM osm WHERE lower(highway) IN ({_quoted(VALID)})",
     "filt_bad_speed": f"WITH {OSM}, s AS (SELECT way_id, CASE WHEN highway IN ({_quoted(SKIP)}) THEN -1 ELSE p_size END AS speed_mph FROM osm) SELECT way_id, speed_mph FROM s WHERE speed_mph >= 0",
     "proj_rename": "WITH raw AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS bridge_typ, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS bridge_type FROM {orders}) SELECT id, coalesce(bridge_type, bridge_typ) AS bridge_type FROM raw",
@@ -58,16 +51,10 @@ TEMPLATES = {
         SELECT value, speed FROM d WHERE rank = 1""",
     "fn_color_bin": f"SELECT CAST(speed AS INT) AS speed, {_COLOR} AS color FROM (SELECT @series(0, 79) AS speed) t",
     "fn_json_props": "SELECT event_id, CAST(@json(props, k) AS INT) AS k, coalesce(@json(props, highway), @json(props, class), 'none') AS highway FROM {events}",
-    "scan_geojson": "SELECT CAST(@json(props, k) AS INT) AS k, CAST(count(*) AS BIGINT) AS features FROM {events} WHERE props IS NOT NULL GROUP BY 1",
-    "scan_csv_idx": f"WITH {BINNED} SELECT speed - 1 AS idx, burn_val, speed, channel FROM binned",
-    "scan_lookup_img": "WITH f AS (SELECT DISTINCT source FROM {documents}) SELECT p.page_id, coalesce(a.source, b.source, 'none') AS image FROM {pages} p LEFT JOIN f a ON a.source = concat('src', CAST(p.page_id % 40 AS STRING)) LEFT JOIN f b ON b.source = concat('src', CAST(p.page_id % 7 AS STRING))",
     "ds_names_idx": "WITH n AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS idx FROM {pages}) SELECT CAST(idx AS BIGINT) AS idx, page_id FROM n WHERE page_id IN (SELECT doc_id FROM {labels} WHERE quality = 1)",
-    "ds_imageprovider": "SELECT page_id, url FROM {pages} WHERE contains(url, 'example.com')",
-    "join_img_label": "SELECT d.doc_id, l.quality, concat('geojson_roads_speed_', split_part(concat('PS-RGB_', CAST(d.doc_id AS STRING)), '_', 2)) AS label FROM {documents} d JOIN {labels} l ON concat('PS-RGB_', CAST(d.doc_id AS STRING)) = replace(concat('geojson_roads_speed_', CAST(l.doc_id AS STRING)), 'geojson_roads_speed', 'PS-RGB')",
     "join_img_mask": "SELECT p.page_id, concat(split_part(concat('im', CAST(p.page_id AS STRING), '.png'), '.', 1), '.tif') AS mask FROM {pages} p JOIN {labels} l ON p.page_id = l.doc_id",
     "join_dir_zip": "WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS pos FROM {part}), b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS pos FROM {supplier}) SELECT p_partkey, s_suppkey FROM a JOIN b ON a.pos = b.pos",
     "geo_stamp": "WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_name) AS pos FROM {customer}), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS pos FROM {part}) SELECT c_custkey, p_partkey FROM a JOIN b ON a.pos = b.pos",
-    "fn_basename": "SELECT page_id, split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) AS path, replace(replace(split_part(split_part(url, '://', 2), '/', 1), 'm.', ''), 'blog.', '') AS name FROM {pages}",
     "fn_make_str": "SELECT l_orderkey AS id, CAST(l_linenumber AS STRING) AS text, concat(l_returnflag, '-', l_linestatus) AS name FROM {lineitem}",
     "cfg_dir_select": "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'stitched' WHEN o_orderkey % 4 > 1 THEN 'merged' ELSE substring(concat('fold0_', CAST(o_orderkey AS STRING)), 7) END AS input FROM {orders}",
     "filt_by_key": "SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem} WHERE l_orderkey = 7",
@@ -89,4 +76,5 @@ TEMPLATES = {
     "sample_choice": "SELECT page_id FROM {pages} ORDER BY md5(concat(url, '7')), page_id LIMIT 10",
 }
 
-QUERIES, ORACLE_SQL = both(TEMPLATES)
+QUERIES: dict = {}
+ORACLE_SQL = oracles(TEMPLATES)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweft.operators import kernels, lines
-from roadweft.plans.dual import both
+from roadweft.plans.dual import oracles, spark_query
 from roadweft.plans.geometry import POLYLINE
 from roadweft.plans.kernels import _mask, images
 from roadweft.session import materialize, table
@@ -56,7 +56,7 @@ TEMPLATES = {
     "win_position_chunk": "SELECT c_custkey, CAST(@div(row_number() OVER (ORDER BY c_name) - 1, 12) AS BIGINT) AS line FROM {customer}",
 }
 
-QUERIES, ORACLE_SQL = both(TEMPLATES)
+ORACLE_SQL = oracles(TEMPLATES)
 
 
 def gr_img2g(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,4 +116,6 @@ def gr_linemerge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInPandas(step, "vec_id bigint, merged bigint, kept bigint, length double")
 
 
-QUERIES |= {f.__name__: f for f in (gr_img2g, gr_simplify_pts, gr_bridge_gaps, gr_to_wkt, gr_dir2wkt, gr_linemerge)}
+QUERIES = {f.__name__: f for f in (gr_img2g, gr_simplify_pts, gr_bridge_gaps, gr_to_wkt, gr_dir2wkt, gr_linemerge)}
+# the hexagon of hues is stated once for both sides
+QUERIES["img_augment_file"] = spark_query(TEMPLATES["img_augment_file"])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadweft.functions import geo, roadgraph, rounded, sequences
 from roadweft.operators.ranking import numbered
 from roadweft.plans import graph, labels, lines
-from roadweft.plans.dual import SPARK, render, spark_query
-from roadweft.plans.geometry import _HAV, NODE
+from roadweft.plans.operators import nodes
 from roadweft.session import table
 
 FOLDS = 4
@@ -62,29 +62,37 @@ def geo_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sort_pair_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark_query(f"WITH {graph.NEAR} SELECT s, e, d FROM pair")(spark, sf_dir)
+    pairs = roadgraph.near_pairs(graph.terminals(spark, sf_dir), 80.0, 24.0)
     return numbered(pairs, "d", "s", "e").select("s", "e", (F.col("pos") + 1).alias("place"))
 
 
+def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """way_id, pos, node: the nodes of every way in order."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way_id"), F.row_number().over(order).alias("pos"), F.col("l_partkey").alias("node"))
+
+
 def win_first_seen_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids from 10000 on in the order in which the ways name the nodes."""
-    seen = spark_query(f"WITH {graph.WAY} SELECT node, min(way_id * 100 + pos) AS ord FROM way GROUP BY node")(spark, sf_dir)
+    seen = _ways(spark, sf_dir).groupBy("node").agg(F.min(F.col("way_id") * 100 + F.col("pos")).alias("ord"))
     return numbered(seen, "ord", "node").select("node", (F.col("pos") + 10000).alias("id"))
 
 
 def gr_wkt2edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    legs = spark_query(f"WITH {graph.WAY} SELECT way_id, pos, u AS _u, v AS _v FROM leg WHERE v IS NOT NULL")(spark, sf_dir)
+    legs = sequences.pairwise(_ways(spark, sf_dir), "way_id", "node")
     ids = win_first_seen_id(spark, sf_dir)
     a, b = ids.toDF("_a", "u"), ids.toDF("_b", "v")
-    joined = legs.join(a, F.col("_u") == F.col("_a")).join(b, F.col("_v") == F.col("_b"))
-    return joined.select("way_id", "pos", "u", "v", F.abs(F.col("_v") - F.col("_u")).cast("double").alias("length_pix"))
+    joined = legs.join(a, F.col("s") == F.col("_a")).join(b, F.col("e") == F.col("_b"))
+    return joined.select("way_id", "pos", "u", "v", F.abs(F.col("e") - F.col("s")).cast("double").alias("length_pix"))
 
 
 def gr_route_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments of the route along all nodes."""
-    places = numbered(spark_query(f"WITH {NODE} SELECT node, lat, lon FROM node")(spark, sf_dir), "node")
-    after = places.selectExpr("pos - 1 AS pos", "lat AS lat2", "lon AS lon2")
-    return places.join(after, "pos").selectExpr("node", "lon AS x0", "lat AS y0", "lon2 AS x1", "lat2 AS y1", render(labels._ROUND(_HAV, 3), SPARK) + " AS length")
+    places = numbered(nodes(spark, sf_dir), "node")
+    after = places.select((F.col("pos") - 1).alias("pos"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    length = geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    ends = [F.col(c).alias(n) for c, n in (("lon", "x0"), ("lat", "y0"), ("lon2", "x1"), ("lat2", "y1"))]
+    return places.join(after, "pos").select("node", *ends, rounded(length, 3).alias("length"))
 
 
 QUERIES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadweft.plans.dual import both
+from roadweft.plans.dual import oracles
 
 _ROUND = lambda x, d: f"(@rint(({x}) * 1e{d}) / 1e{d})"
 PIXEL = "pixel AS (SELECT l_partkey AS x, l_suppkey AS y, l_quantity AS v, l_orderkey AS src, CAST(l_orderkey % 4 AS INT) AS fold, CAST(l_linenumber AS INT) AS band FROM {lineitem})"
@@ -18,10 +18,6 @@ TEMPLATES = {
     "set_dedup_coords": f"WITH {TILE} SELECT image_id, CAST(count(*) AS BIGINT) AS tiles FROM tile GROUP BY image_id",
     "fn_tile_starts": "SELECT DISTINCT dim, CAST(least(1280 * i, dim - 1300) AS BIGINT) AS start FROM (SELECT dim, @series(0, @div(dim - 2, 1280)) AS i FROM (SELECT DISTINCT 1400 + 60 * p_size AS dim FROM {part}) d) t",
     "fn_tile_name": f"WITH {TILE} SELECT image_id, concat(CAST(row_number() OVER (PARTITION BY image_id ORDER BY xmin, ymin) - 1 AS STRING), '__', name, '__', CAST(xmin AS STRING), '__', CAST(ymin AS STRING), '__1300__1300__', CAST(w AS STRING), '__', CAST(h AS STRING), '.tif') AS tile FROM tile",
-    # steps = ceil((B - pad) / (S - pad)); the last start is B - S
-    "fn_seq_starts": "WITH d AS (SELECT DISTINCT CAST(1400 + 60 * p_size AS INT) AS b FROM {part}), n AS (SELECT b, CAST(ceil((b - 64e0) / (1300e0 - 64e0)) AS INT) AS steps FROM d) SELECT b, CAST(i AS INT) AS i, CAST(floor(i * (b - 1300e0) / greatest(steps - 1, 1)) AS BIGINT) AS start FROM (SELECT b, steps, @series(0, steps - 1) AS i FROM n) t",
-    "sort_starts": "SELECT dim, CAST(1280 * i AS BIGINT) AS start FROM (SELECT dim, @series(0, @div(dim, 1280)) AS i FROM (SELECT DISTINCT 1400 + 60 * p_size AS dim FROM {part}) d) t ORDER BY dim, start",
-    "tf_crops": "WITH d AS (SELECT p_partkey AS image_id, CAST(1400 + 60 * p_size AS INT) AS w FROM {part}), n AS (SELECT *, CAST(ceil((w - 64e0) / 1236e0) AS INT) AS nx FROM d) SELECT image_id, CAST(floor(i * (w - 1300e0) / greatest(nx - 1, 1)) AS BIGINT) AS x0, CAST(floor(j * (w - 1300e0) / greatest(nx - 1, 1)) AS BIGINT) AS y0 FROM (SELECT *, @series(0, nx - 1) AS j FROM (SELECT *, @series(0, nx - 1) AS i FROM n) a) b",
     "agg_fold_mean": f"WITH {PIXEL} SELECT x, fold, CAST(floor(avg(v)) AS BIGINT) AS v FROM pixel GROUP BY x, fold",
     "join_prefix_fold": "WITH f AS (SELECT concat('fold', CAST(l_orderkey % 4 AS STRING), '_', CAST(l_partkey AS STRING)) AS name, l_quantity AS v FROM {lineitem}) SELECT substring(name, 7) AS image, CAST(count(DISTINCT substring(name, 1, 5)) AS BIGINT) AS folds, CAST(floor(avg(v)) AS BIGINT) AS v FROM f GROUP BY substring(name, 7)",
     "agg_stitch": f"WITH {PIXEL} SELECT x, y, CAST(floor(sum(v) / count(*)) AS BIGINT) AS v, CAST(count(*) AS BIGINT) AS overlap FROM pixel GROUP BY x, y",
@@ -31,7 +27,6 @@ TEMPLATES = {
         SELECT x, y, {_ROUND('avg(v)', 6)} AS v FROM f GROUP BY x, y""",
     "fn_flip_index": f"WITH {PIXEL} SELECT x, y, 63 - x % 64 AS flipped_x, 63 - y % 64 AS flipped_y, v FROM pixel",
     "agg_pct": f"WITH {PIXEL} SELECT band, {_ROUND('@pct(v, 0.02e0)', 6)} AS low, {_ROUND('@pct(v, 0.5e0)', 6)} AS median, {_ROUND('@pct(v, 0.98e0)', 6)} AS high FROM pixel GROUP BY band",
-    "fn_rescale_bounds": f"WITH {PIXEL} SELECT band, greatest(1e0, @pct(v, 0.02e0)) AS bmin, @pct(v, 0.98e0) AS bmax FROM pixel WHERE band <= 3 GROUP BY band",
     "fn_rescale_8bit": f"""WITH {PIXEL}, b AS (SELECT band, greatest(1e0, @pct(v, 0.02e0)) AS lo, @pct(v, 0.98e0) AS hi FROM pixel GROUP BY band)
         SELECT p.src, p.x, p.y, p.band, CAST(floor(greatest(least(255e0 * (v - lo) / (hi - lo), 255e0), 0e0)) AS BIGINT) AS v FROM pixel p JOIN b ON p.band = b.band""",
     "fn_gamma_lut": "SELECT CAST(i AS INT) AS i, CAST(floor(pow(i / 255e0, 1e0 / 1.66e0) * 255e0) AS BIGINT) AS v FROM (SELECT @series(0, 255) AS i) t",
@@ -49,8 +44,6 @@ TEMPLATES = {
         t AS (SELECT CAST(i AS BIGINT) AS place, CAST(CASE WHEN i < 0 THEN -1 - i WHEN i > 63 THEN 127 - i ELSE i END AS BIGINT) AS src FROM (SELECT @series(-8, 71) AS i) q)
         SELECT s.image_x, s.image_y, a.place AS x, b.place AS y, s.v FROM s JOIN t a ON a.src = s.x JOIN t b ON b.src = s.y""",
     "tf_border_fix": f"WITH {PIXEL}, p AS (SELECT x % 32 AS x, y % 32 AS y, max(v) AS v FROM pixel GROUP BY x % 32, y % 32) SELECT x + 5 - 7 + 2 AS x, y + 5 - 7 + 2 AS y, v FROM p WHERE x + 5 >= 7 AND y + 5 >= 7 AND x + 5 < 42 - 7 AND y + 5 < 42 - 7",
-    "agg_dissolve": f"WITH {PIXEL} SELECT x, y, band AS speed, max(v) AS burned FROM pixel GROUP BY x, y, band",
-    "geo_rasterize": f"WITH {PIXEL}, o AS (SELECT x, y, v, row_number() OVER (PARTITION BY x, y ORDER BY src DESC, band DESC, v DESC) AS rank FROM pixel) SELECT x, y, v AS burned FROM o WHERE rank = 1",
     "agg_pixel_area": f"WITH {IMAGE} SELECT CAST(sum(CAST(w AS BIGINT) * h) AS BIGINT) AS pixels, {_ROUND('sum(CAST(w AS DOUBLE) * h) * 0.3e0 * 0.3e0 / 1e6', 6)} AS km2 FROM image",
     "agg_band_stats": f"WITH {PIXEL}, s AS (SELECT x, max(CASE WHEN band % 2 = 1 THEN v END) AS dsm, max(CASE WHEN band % 2 = 0 THEN v END) AS dtm FROM pixel GROUP BY x) SELECT {_ROUND('avg(dsm - dtm)', 6)} AS mean_height, CAST(count(*) AS BIGINT) AS n FROM s WHERE dsm IS NOT NULL AND dtm IS NOT NULL",
     "agg_hist": f"WITH h AS (SELECT least(CAST(floor(l_discount * 10 * 29) AS BIGINT), 28) AS bin FROM {{lineitem}}), n AS (SELECT count(*) AS n FROM {{lineitem}}) SELECT bin, {_ROUND('count(*) * 1e0 / max(n)', 6)} AS share FROM h CROSS JOIN n GROUP BY bin",
@@ -77,4 +70,5 @@ TEMPLATES = {
     "sample_crop": "SELECT p_partkey AS image_id, CAST(floor((1400 + 60 * p_size - 1300) * (CAST(ascii(substring(md5(p_name), 1, 1)) % 16 AS DOUBLE) / 16e0)) AS BIGINT) AS x0 FROM {part}",
 }
 
-QUERIES, ORACLE_SQL = both(TEMPLATES)
+QUERIES: dict = {}
+ORACLE_SQL = oracles(TEMPLATES)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roadweft.functions import geo, masks, metrics, names, roadgraph, rounded, sequences, speeds, tiles
 from roadweft.plans import graph, lines
-from roadweft.plans.dual import duck_query, spark_query
+from roadweft.plans.dual import duck_query
 from roadweft.plans.operators import Query, highways, images, nodes, pixels, polylines, with_mph
 from roadweft.session import table
 
@@ -217,9 +217,10 @@ def tf_border_fix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _buffers(spark: SparkSession, sf: str) -> DataFrame:
-    """Pixels of widened roads: vec_id, label, x, y, speed."""
-    found = spark_query(f"WITH {lines.BUFFER} SELECT vec_id, CAST(label AS BIGINT) AS image_id, px AS x, py AS y FROM buffer")(spark, sf)
-    return found.withColumn("speed", 5 + F.col("vec_id") % 61)
+    """Pixels of widened roads: vec_id, image_id, x, y, speed."""
+    image = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_v"), F.col("label").cast("bigint").alias("image_id"))
+    found = geo_buffer(spark, sf).join(image, F.col("vec_id") == F.col("_v"))
+    return found.select("vec_id", "image_id", F.col("px").alias("x"), F.col("py").alias("y"), (5 + F.col("vec_id") % 61).alias("speed"))
 
 
 @query
@@ -245,10 +246,8 @@ def geo_buffer(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def geo_roadmask(spark: SparkSession, sf: str) -> DataFrame:
     """Roads burned in their order, those of skipped types left out."""
-    own = geo_buffer(spark, sf).filter("vec_id % 7 <> 3")
-    image = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_v"), F.col("label").cast("bigint").alias("image_id"))
-    burn = own.join(image, F.col("vec_id") == F.col("_v")).withColumn("v", speeds.burn_binned(5 + F.col("vec_id") % 61))
-    return burn.groupBy("image_id", "px", "py").agg(F.max_by("v", "vec_id").alias("burned"))
+    burn = _buffers(spark, sf).filter("vec_id % 7 <> 3").withColumn("v", speeds.burn_binned(F.col("speed")))
+    return burn.groupBy("image_id", F.col("x").alias("px"), F.col("y").alias("py")).agg(F.max_by("v", "vec_id").alias("burned"))
 
 
 @query
@@ -323,6 +322,23 @@ def img_color_aug(spark: SparkSession, sf: str) -> DataFrame:
     return pixels(spark, sf).select("src", "x", "y", masks.shuffled_band(F.col("band")).alias("shuffled_band"), masks.inverted(v).alias("inverted"), masks.shifted(v, 20.0).alias("shifted"))
 
 
+@query
+def aug_compose(spark: SparkSession, sf: str) -> DataFrame:
+    """Per image a flip or not, then a rotation, a transposition or neither, on image and mask alike;
+    then the image alone inverted or not. Draws are hashes of the image and the step."""
+    rows = table(spark, sf, "lineitem")
+    small = lambda c: (F.col(c) % 64).cast("int")
+    chip = rows.groupBy((F.col("l_partkey") % 50).alias("image_id"), small("l_partkey").alias("x"), small("l_suppkey").alias("y")).agg(
+        F.max((F.col("l_quantity") * 5).cast("int")).alias("b"), F.max((F.col("l_linenumber") > 5).cast("int")).alias("mask")
+    )
+    draw = lambda step: F.conv(F.substring(F.md5(F.concat(F.col("image_id").cast("string"), F.lit(f":{step}:42"))), 1, 1), 16, 10).cast("int")
+    drawn = chip.select("image_id", "y", "b", "mask", F.when(draw("flip") < 8, masks.flipped(F.col("x"), 64)).otherwise(F.col("x")).alias("x"), draw("one").alias("one"), (draw("invert") < 8).alias("invert"))
+    x, y = F.col("x"), F.col("y")
+    turn = F.when(F.col("one") < 5, F.struct(y.alias("x"), masks.flipped(x, 64).alias("y"))).when(F.col("one") < 10, F.struct(y.alias("x"), x.alias("y"))).otherwise(F.struct(x.alias("x"), y.alias("y")))
+    value = F.when(F.col("invert"), 255 - F.col("b")).otherwise(F.col("b"))
+    return drawn.select("image_id", turn.alias("at"), value.alias("value"), "mask").select("image_id", "at.x", "at.y", "value", "mask")
+
+
 # sequences
 
 
@@ -456,15 +472,8 @@ def join_anti_remove(spark: SparkSession, sf: str) -> DataFrame:
     return roadgraph.removed(graph.sparse(spark, sf), _status(spark, sf, "P")).select("u", "v")
 
 
-def terminals(spark: SparkSession, sf: str) -> DataFrame:
-    """id, x, y: every 1500 keys fill another strip, so density is the same at any size."""
-    key = F.col("o_orderkey")
-    x = 1301 * F.floor(key / 1500) + key * 37 % 1301
-    return table(spark, sf, "orders").select(key.alias("id"), x.cast("double").alias("x"), (key * 91 % 1297).cast("double").alias("y"))
-
-
 def _near(spark: SparkSession, sf: str) -> DataFrame:
-    return roadgraph.near_pairs(terminals(spark, sf), 80.0, 24.0)
+    return roadgraph.near_pairs(graph.terminals(spark, sf), 80.0, 24.0)
 
 
 @query
