@@ -26,7 +26,8 @@ SLICE_CHARS = 6_000_000
 #: Not regular for "bytes": blanks at an end, runs of blanks, and any other white space.
 _IRREGULAR = "^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _FIRST = "\r"
-_POINTS = ".,;:!?"
+#: A Latin-1 word with or without closing points.
+_PLAIN = "^(?P<word>[A-Za-z\\x{aa}\\x{b5}\\x{ba}\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}]+)(?P<tail>[.,;:!?]*)$"
 
 _ENCODERS: dict[tuple[str, str], "Encoder"] = {}
 
@@ -65,53 +66,59 @@ class Encoder:
             return chunk
         return chunk[1:] if chunk[:1] == _FIRST else " " + chunk
 
-    def _plain_words(self, missing: list[str]) -> tuple[dict[str, bytes], list[str]]:
-        """Ids of Latin-1 words with or without closing points, straight from the model, and the rest.
-
-        Such a word is normal (NFC) as it is, and one pre-token; so are the points."""
-        if self.letters is None:
-            mapped = self.tokenizer.pre_tokenizer.pre_tokenize_str
-            self.letters = {c: mapped(chr(c))[0][0] for c in range(128, 256) if chr(c).isalpha()}
-        new: dict[str, bytes] = {}
-        rest = []
-        known, model, letters = self.known, self.tokenizer.model.tokenize, self.letters
-        for c in missing:
-            core = c.rstrip(_POINTS)
-            if not core.isalpha() or max(core) > "\xff":
-                rest.append(c)
-                continue
-            low = core.lower()
-            ids = known.get(low)
-            if ids is None and (ids := self.older.get(low)) is not None:
-                known[low] = ids
-            if ids is None:
-                ids = known[low] = array("I", [t.id for t in model(low if low.isascii() else low.translate(letters))]).tobytes()
-            if core != c:
-                tail = c[len(core) :]
-                points = known.get(tail)
-                if points is None:
-                    points = known[tail] = self._library([tail])[0]
-                ids += points  # only the word itself is kept in the cache
-            new[c] = ids
-        return new, rest
-
-    def _lookup(self, chunks: list[str]) -> list[bytes]:
+    def _turn(self) -> None:
         if len(self.known) > CACHE_CHUNKS:  # what is still in use moves on from the older half
             self.known, self.older = {}, self.known
+
+    def _cached(self, chunks: list[str]) -> tuple[list[bytes | None], list[str]]:
+        """(ids or None of each chunk, the chunks without)."""
+        self._turn()
         found = list(map(self.known.get, chunks))
         if self.older:
             for k, ids in enumerate(found):
                 if ids is None and (ids := self.older.get(chunks[k])) is not None:
                     found[k] = self.known[chunks[k]] = ids
-        missing = [c for c, ids in zip(chunks, found) if ids is None]
+        return found, [c for c, ids in zip(chunks, found) if ids is None]
+
+    def _lookup(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, by the library where they are new."""
+        found, missing = self._cached(chunks)
         if not missing:
             return found
-        new, rest = self._plain_words(missing) if self.kind == "words" else ({}, missing)
-        others = dict(zip(rest, self._library([self._real(c) for c in rest])))
-        self.known.update((c, ids) for c, ids in others.items() if len(c) <= LONG_CHUNK)
-        new.update(others)
+        new = dict(zip(missing, self._library([self._real(c) for c in missing])))
+        self.known.update((c, ids) for c, ids in new.items() if len(c) <= LONG_CHUNK)
         return [new[c] if ids is None else ids for c, ids in zip(chunks, found)]
 
+    def _models(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-cased Latin-1 words, straight from the model: such a word is normal (NFC) as it
+        is, and one pre-token."""
+        if self.letters is None:
+            mapped = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.letters = {c: mapped(chr(c))[0][0] for c in range(128, 256) if chr(c).isalpha()}
+        found, missing = self._cached(words)
+        if not missing:
+            return found
+        model, letters = self.tokenizer.model.tokenize, self.letters
+        new = {w: array("I", [t.id for t in model(w if w.isascii() else w.translate(letters))]).tobytes() for w in missing}
+        self.known.update((w, ids) for w, ids in new.items() if len(w) <= LONG_CHUNK)
+        return [new[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def _word_ids(self, chunks: pa.Array) -> pa.Array:
+        """Ids of distinct chunks: Latin-1 words and the points that close them apart, each distinct
+        lower-cased word looked up once, other chunks by the library."""
+        split = pc.extract_regex(chunks, pattern=_PLAIN)
+        plain = split.is_valid()
+        words = pc.utf8_lower(pc.struct_field(split, "word").filter(plain)).dictionary_encode()
+        tails = pc.struct_field(split, "tail").filter(plain).dictionary_encode()
+        binary = pa.large_binary()
+        word_ids = pa.array(self._models(words.dictionary.to_pylist()), binary).take(words.indices)
+        tail_ids = pa.array(self._lookup(tails.dictionary.to_pylist()), binary).take(tails.indices)
+        joined = pc.binary_join_element_wise(word_ids, tail_ids, pa.scalar(b"", binary))
+        others = pa.array(self._lookup(chunks.filter(pc.invert(plain)).to_pylist()), binary)
+        # plain ones first, then the others, back in their places
+        places = np.argsort(np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable"))
+        return pa.concat_arrays([joined.cast(binary), others]).take(pa.array(places))
+
     def _divided(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
         if self.kind == "words":
@@ -121,7 +128,11 @@ class Encoder:
             marked = pc.binary_join_element_wise(pa.scalar(_FIRST, big), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", big))
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        ids = pa.array(self._lookup(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        if self.kind == "words":
+            ids = self._word_ids(coded.dictionary)
+        else:
+            ids = pa.array(self._lookup(coded.dictionary.to_pylist()), pa.large_binary())
+        ids = ids.take(coded.indices)
         ends = np.frombuffer(ids.buffers()[1], dtype=np.int64, count=len(ids) + 1, offset=8 * ids.offset) // 4
         out = np.frombuffer(ids.buffers()[2] or b"", dtype="<u4", count=int(ends[-1] - ends[0]), offset=4 * int(ends[0]))
         edges = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
