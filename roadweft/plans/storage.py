@@ -15,7 +15,7 @@ from roadweft.functions import speeds
 from roadweft.operators import flow, scoring
 from roadweft.plans.dual import duck_query
 from roadweft.plans.kernels import images
-from roadweft.session import materialize, scratch, table
+from roadweft.session import materialize, passing, scratch, table
 from roadweft.sources import files, sinks
 
 
@@ -185,8 +185,8 @@ def scan_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _pixels(spark, sf_dir).filter("name < '3'")
     folder = scratch(spark, "images")
     for form in ("png", "tif"):
-        sinks.images(sinks.encoded(own, 100, 100, 1, form), folder).collect()
-    sinks.images(spark.createDataFrame([("readme.txt", b"no image")], "name string, content binary"), folder).collect()
+        materialize(sinks.images(sinks.encoded(own, 100, 100, 1, form), folder), "written")
+    materialize(sinks.images(spark.createDataFrame([("readme.txt", b"no image")], "name string, content binary"), folder), "written")
     return files.listing(spark, folder).select("name", F.substring_index("name", ".", -1).alias("kind"))
 
 
@@ -219,10 +219,12 @@ def sink_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_geotiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TIFF files of two bands, the second a mask, stored and decoded."""
+    """TIFF files of two bands, the second a mask, with their place, written to a folder and read."""
     own = _pixels(spark, sf_dir)
     mask = own.filter("v > 25").withColumn("band", F.lit(2)).withColumn("v", F.lit(255.0))
-    return _read_back(materialize(sinks.encoded(own.unionByName(mask), 100, 100, 2), "tif"))
+    folder = scratch(spark, "tif")
+    materialize(sinks.images(sinks.encoded(own.unionByName(mask), 100, 100, 2, geo=(1000.0, 2000.0, 0.3, -0.3)), folder), "written")
+    return _read_back(files.rasters(spark, passing(spark, folder)))
 
 
 def flow_solution(spark: SparkSession, sf_dir: str) -> DataFrame:

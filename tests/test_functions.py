@@ -218,3 +218,34 @@ def test_utm_agrees_with_another_series(spark):
     far = edges.select("image_id", "u", "v", F.expr("transform(points, p -> named_struct('x', p.x * 1000, 'y', p.y))").alias("points"))
     with pytest.raises(Exception, match="too long"):
         geograph.measured(geograph.projected(geograph.located(far, meta))).collect()
+
+
+def test_colours_there_and_back():
+    from roadweft.operators import augment
+
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (30, 40, 3)).astype(np.uint8)
+    assert (np.abs(augment.from_lab(augment.to_lab(image)).astype(int) - image) <= 1).all()
+    assert (np.abs(augment.from_hsv(augment.to_hsv(image)).astype(int) - image) <= 6).all()  # hue has 180 steps
+    assert augment.to_hsv(np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [7, 7, 7]]], np.uint8)).tolist() == [[[0, 255, 255], [60, 255, 255], [120, 255, 255], [0, 0, 7]]]
+    assert augment.to_lab(np.array([[[255, 255, 255]]])).round(1).tolist() == [[[100, 0, 0]]]
+    assert (augment.shift_hsv(np.array([[[255, 0, 0]]], np.uint8), 60, 0, 0) == [0, 255, 0]).all()
+    assert augment.shift_channels(np.array([[[250, 5, 9]]], np.uint8), 20, -20, 1).tolist() == [[[255, 0, 10]]]
+
+
+def test_filters():
+    from roadweft.operators import augment
+
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 256, (32, 48, 3)).astype(np.uint8)
+    blurred = augment.box_blur(image, 3)
+    assert blurred[5, 7, 1] == np.rint(image[4:7, 6:9, 1].mean()) and blurred.shape == image.shape
+    flat = np.full((32, 48, 3), 90, np.uint8)
+    assert (augment.box_blur(flat, 5) == 90).all() and (augment.sharpen(flat) == 90).all()
+    grey = np.clip(rng.normal(120, 6, (256, 256)), 0, 255).astype(np.uint8)
+    wider = augment.limited_contrast(grey, 4.0)
+    assert wider.std() > 1.5 * grey.std() and augment.limited_contrast(grey, 1.0).std() < wider.std()
+    order = np.argsort(np.unique(grey))
+    one = augment.limited_contrast(grey, 4.0, grid=1)  # one tile: one rising map
+    assert (np.diff([one[grey == v][0].astype(int) for v in np.unique(grey)[order]]) >= 0).all()
+    assert augment.clahe(image).shape == image.shape and (augment.random_filter(image, 1) == augment.clahe(image)).all()
