@@ -27,7 +27,7 @@ from roadweft.session import materialize
 SAMPLE = 1_500
 #: Of these every fourth only weighs the bits; then all are learnt from.
 WEIGHING = 4
-#: Learned languages; the model has 32768 numbers per bit.
+#: Learned languages; the model, which is broadcast, has 32768 numbers per bit: 12 MB at most.
 MAX_LANGUAGES = 512
 BUCKETS = 1 << 15
 BITS = 15

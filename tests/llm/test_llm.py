@@ -339,6 +339,17 @@ def test_embedding_query_is_brute_force(spark, sf_dir):
     assert {r.vec_id: r.n_links for r in queries.op7_embedding_dedup(spark, sf_dir).collect()} == links
 
 
+def brute_targets(sizes):
+    """Water poured by weight in small drops into glasses of twice a source's size."""
+    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    low, high, total = 0.0, 2.0 * sum(sizes.values()), 1.5 * sum(sizes.values())
+    for _ in range(200):  # the level per weight at which all is poured
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(level * weight[s], 2 * sizes[s]) for s in order) < total else (low, level)
+    return {s: min(level * weight[s], 2.0 * sizes[s]) for s in order}
+
+
 def test_mixing(spark, sf_dir):
     docs = {r.doc_id: r for r in table(spark, sf_dir, "documents").collect()}
     found = queries.op8_mix_sources(spark, sf_dir).collect()
@@ -347,8 +358,8 @@ def test_mixing(spark, sf_dir):
         assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id].text or "")) and r.taken <= 2 * r.size
         sizes[r.source] += r.size
         taken[r.source] += r.taken
-    due = mixing.targets(sizes)
-    assert sum(due.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    due = brute_targets(sizes)
+    assert due == pytest.approx(mixing.targets(sizes)) and sum(due.values()) == pytest.approx(1.5 * sum(sizes.values()))
     for r in found:
         assert (r.source_size, r.target) == (sizes[r.source], pytest.approx(due[r.source]))
     longest = max(r.size for r in found)
@@ -655,3 +666,62 @@ def test_sampling_follows_the_weights(spark):
     order = sorted(key, key=key.get)
     assert taken == set(order[: len(taken)]) and abs(len(taken) - 1000) <= 1
     assert 0.6 < sum(k < 2000 for k in taken) / len(taken) < 0.85
+
+
+def brute_lines(docs):
+    """(text) of each document without lines on over MAX_RATIO of its source's pages, and MIN_PAGES."""
+    pages, seen = Counter(), Counter()
+    for _, text, source in docs:
+        pages[source] += 1
+        for line in {x for x in (text or "").split("\n") if x.strip(" ")} if text is not None else ():
+            seen[source, line] += 1
+    bad = {k for k, c in seen.items() if c >= line_dedup.MIN_PAGES and c > pages[k[0]] * line_dedup.MAX_RATIO}
+    return {i: None if text is None else "\n".join(x for x in text.split("\n") if not x.strip(" ") or (source, x) not in bad) for i, text, source in docs}
+
+
+def test_pipeline_is_brute_force(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    stages = dict(pipeline.STAGES)
+    docs = table(spark, sf_dir, "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    known = materialize(stages["language_id"](spark, docs, sf_dir), "stage")
+    kept = {r.doc_id: r for r in known.collect()}
+    assert set(kept) == {i for i, r in rows.items() if re.search(r"[^\W\d_]", r.text or "")} and all(kept[i].text == rows[i].text and kept[i].lang for i in kept)
+    clean = materialize(stages["line_dedup"](spark, known, sf_dir), "stage")
+    truth = brute_lines([(i, r.text, r.source) for i, r in kept.items()])
+    assert {r.doc_id: (r.text, r.n_chars) for r in clean.collect()} == {i: (t, len(t)) for i, t in truth.items()}
+    single = materialize(stages["minhash_near_dedup"](spark, clean, sf_dir), "stage")
+    texts = sorted(truth.items())
+    groups = brute_groups(texts)
+    assert sorted(r.doc_id for r in single.collect()) == [texts[k][0] for k in sorted(set(groups))]
+    mixed = materialize(stages["source_mixing"](spark, single, sf_dir), "stage")
+    size = {r.doc_id: (r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in single.collect()}
+    sizes, taken, times = Counter(), Counter(), Counter(r.doc_id for r in mixed.collect())
+    for i, (source, n) in size.items():
+        sizes[source] += n
+        taken[source] += n * times[i]
+    due = brute_targets(sizes)
+    assert max(times.values()) <= 2 and set(times) <= set(size) and all(abs(taken[s] - due[s]) <= max(n for _, n in size.values()) / 2 for s in due)
+    packed = materialize(stages["best_fit_packing"](spark, mixed, sf_dir), "stage")
+    n, least = check_packing(packed.collect(), [(i, truth[i]) for i, k in times.items() for _ in range(k)])
+    assert n <= least * 1.01 + 1
+    whole = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pipeline.run(spark, sf_dir).collect())
+    assert whole == Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed.collect())
+
+
+def test_line_dedup_of_long_texts_and_ties(spark):
+    long = "\n".join(f"line {k}" for k in range(30_000))
+    rows = [(k, ("tie\n" if k < 6 else "") + ("over\n" if k < 7 else "") + f"own {k}", "h") for k in range(99)] + [(99, long + "\nover", "h")]
+    found = {r.doc_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    assert found[3].text == "tie\nown 3"  # on exactly the ratio it stays
+    assert found[99].text == long and (found[99].n_lines, found[99].n_dropped) == (30_001, 1)
+
+
+def test_mined_rules_that_tie(spark):
+    """Two rules of equal confidence and support, one for each label: the smaller id decides."""
+    labels = [(f"http://a.org/left/{k}", "block") for k in range(30)] + [(f"http://a.org/right/{k}", "allow") for k in range(30)]
+    pages = [(1, "http://a.org/left/right/1"), (2, "http://a.org/x?left"), (3, "http://a.org/left/1"), (3, "http://a.org/left/1")]
+    one, again = (url_rules.judge(spark.createDataFrame(pages, "page_id bigint, url string"), [], spark.createDataFrame(labels, "url string, label string"), min_support=0.1).collect() for _ in range(2))
+    assert Counter((r.page_id, r.verdict) for r in one) == Counter((r.page_id, r.verdict) for r in again)
+    assert Counter(r.verdict for r in one if r.page_id == 3) == {"block": 2}
