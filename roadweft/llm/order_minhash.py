@@ -119,6 +119,7 @@ def labels(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    relax()  # of what earlier stages left
     for batch in batches:
         for a, b in slices(batch.column("norm"), SLICE_CHARS):
             label, edges = labels(batch.column("norm").slice(a, b - a))
@@ -256,6 +257,7 @@ def _partners(least: int, ratio: float, top: int):
                 vs.append(uid[y[kept]])
         u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
         found = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
+        relax()
         return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
     return pairs
@@ -271,6 +273,7 @@ def _involved(least: int, ratio: float):
             for x, y, _ in _likely(part, least, ratio):
                 some[x] = some[y] = True
             out.append(part.loc[some, _SPOT])
+        relax()
         return pd.concat(out) if out else rows[_SPOT].head(0)
 
     return needed

@@ -46,6 +46,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str =
     """PIECES of every whole text: its ids and a closing 0, cut every ``capacity`` ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        relax()  # of what earlier stages left
         encoder, closing = Encoder.of(tokenizer, "words"), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             texts, keys = batch.column(1), batch.column(0).to_pylist()
@@ -227,6 +228,7 @@ def pack_level(items: DataFrame, shards: int, capacity: int, islands: int, epoch
         best = rows[rows.island == counts.index[int(np.argmin(counts.to_numpy()))]].sort_values(["sequence", "uid"])
         grouped = best.groupby("sequence").length
         best = best.assign(fill=grouped.transform("sum"), offset=grouped.cumsum() - best.length)
+        relax()
         return best[[f.split()[0] for f in _PACKED.split(", ")]]
 
     return materialize(state.groupBy("shard").applyInPandas(choose, _PACKED), "packed")

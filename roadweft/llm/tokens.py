@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 120_000
 LONG_CHUNK = 64
 SLICE_CHARS = 6_000_000
 #: Not regular for "bytes": blanks at an end, runs of blanks, and any other white space.
