@@ -443,9 +443,11 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
     repeated rows one stays; null ids are the smallest of no group that has another; an empty table
     gives an empty result. Columns may have any name and are unchanged."""
     found = near_duplicates(docs, doc_id, text, threshold)
-    keyed = docs.select(row_of(docs), named(doc_id).cast("bigint").alias("id"), normal(named(text)).alias("norm"))
-    blank = keyed.filter("norm = ''").select(ROW)
-    keyed = keyed.filter("norm <> ''").select(ROW, "id", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest"))
+    # a pattern that stops at the first word tells blank texts, so texts are normalised once
+    worded = F.coalesce(named(text).rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    blank = docs.filter(~worded).select(row_of(docs))
+    digest = F.coalesce(F.unhex(F.md5(normal(named(text)).cast("binary"))), F.lit(b""))
+    keyed = docs.filter(worded).select(row_of(docs), named(doc_id).cast("bigint").alias("id"), digest.alias("digest"))
     kept = materialize(found.filter("kept").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")), "kept")
     # rows that repeat id and words, of which any other column may differ: the first met stays
     repeated = found.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
