@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,17 +58,48 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def shapefiles(files: DataFrame) -> DataFrame:
     """(name, pos, part, points, attributes) of the lines of shapefiles (name, content), whose .shp and
-    .dbf are there; other files are passed over."""
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        content = {n.rsplit(".", 1)[-1]: bytes(c) for n, c in zip(rows["name"], rows.content)}
-        found = shapes.read_lines(content["shp"], content["dbf"]) if {"shp", "dbf"} <= set(content) else []
-        stem = rows["name"].iloc[0].rsplit(".", 1)[0]
-        out = [(stem, k, p, [{"x": x, "y": y} for x, y in line], a) for k, (parts, a) in enumerate(found) for p, line in enumerate(parts)]
-        return pd.DataFrame(out, columns=["name", "pos", "part", "points", "attributes"])
-
-    stems = files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"), "name", "content")
-    return stems.groupBy("stem").applyInPandas(lambda rows: step(rows), "name string, pos int, part int, points array<struct<x:double,y:double>>, attributes map<string,string>")
+    .dbf are there; other files are passed over. Files may come in pieces (name, piece, content), as
+    `sinks.shapefiles` makes them: pieces of a number hold the same records, whole, the headers
+    are in piece 0."""
+    piece = F.col("piece").cast("bigint") if "piece" in files.columns else F.lit(0).cast("bigint")
+    kind = F.regexp_extract("name", r"\.([^.]*)$", 1)
+    parts = files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"), piece.alias("piece"), kind.alias("kind"), "content").filter(F.col("kind").isin("shp", "dbf"))
+    # a .dbf says at its ninth byte, in two, how long its header is
+    long = F.conv(F.hex(F.concat(F.substring("content", 10, 1), F.substring("content", 9, 1))), 16, 10).cast("int")
+    tables = parts.filter((F.col("kind") == "dbf") & (F.col("piece") == 0))
+    heads = tables.select(F.col("stem").alias("_stem"), F.substring(F.col("content"), F.lit(1), long).alias("head"))
+    both = parts.join(heads, F.col("stem") == F.col("_stem")).drop("_stem")
+
+    def step(rows: pa.Table) -> pa.Table:
+        content = dict(zip(rows["kind"].to_pylist(), rows["content"].to_pylist()))
+        stem, number = rows["stem"][0].as_py(), rows["piece"][0].as_py()
+        if len(content) < 2:
+            return pa.table({c: pa.array([], t) for c, t in _SHAPE_TYPES.items()})
+        shp, dbf = content["shp"], content["dbf"]
+        start, width, fields = shapes.read_head(rows["head"][0].as_py())
+        if number:
+            start, at, first = 0, 0, int.from_bytes(shp[:4], "big") - 1
+            count = len(dbf) // width  # but for the byte that ends the file
+        else:
+            at, first = 100, 0
+            count = min(int.from_bytes(dbf[4:8], "little"), (len(dbf) - start) // width)
+        xy, lengths, parts = shapes.read_records(shp, at, count)
+        record = np.repeat(np.arange(count), parts)
+        place = np.arange(len(record)) - np.repeat(np.cumsum(parts) - parts, parts)
+        offset = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        points = pa.ListArray.from_arrays(offset(lengths), pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"]))
+        values = [v for row in zip(*shapes.read_rows(dbf, start, count, width, fields)) for v in row]
+        maps = pa.MapArray.from_arrays(offset(np.full(count, len(fields))), pa.array([f[0] for f in fields] * count, pa.string()), pa.array(values, pa.string()))
+        columns = [pa.array([stem] * len(record), pa.string()), pa.array(first + record, pa.int32()), pa.array(place, pa.int32()), points, maps.take(pa.array(record))]
+        return pa.table(dict(zip(_SHAPE_TYPES, columns)))
+
+    return both.groupBy("stem", "piece").applyInArrow(step, "name string, pos int, part int, points array<struct<x:double,y:double>>, attributes map<string,string>")
+
+
+_SHAPE_TYPES = {
+    "name": pa.string(), "pos": pa.int32(), "part": pa.int32(),
+    "points": pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])), "attributes": pa.map_(pa.string(), pa.string()),
+}
 
 
 def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
