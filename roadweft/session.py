@@ -60,11 +60,12 @@ def passing(spark: SparkSession, path: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
-    The table is deleted when the application ends."""
+    The table is deleted when the application ends. ``file_rows`` bounds a file's rows, hence those
+    that a reader holds at once, where rows are large."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(passing(df.sparkSession, path))
 
 

@@ -9,10 +9,13 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweft.operators.ranking import numbered
 from roadweft.sources import codecs, shapes
 
 
@@ -41,17 +44,46 @@ def graph(nodes: DataFrame, edges: DataFrame, folder: str, by: str = "image_id",
     edges.write.mode("overwrite").partitionBy(by).parquet(f"{base}/edges")
 
 
-def shapefiles(df: DataFrame, by: str) -> DataFrame:
-    """(name, content): a shapefile's three files per value of ``by``, from columns points (x, y),
-    attributes (a map of strings) and pos, their order. An image's lines are few."""
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        lines = [[(p["x"], p["y"]) for p in line] for line in rows.points]
-        parts = shapes.write_lines(lines, [dict(a) for a in rows.attributes])
-        return pd.DataFrame({"name": [f"{rows[by].iloc[0]}.{end}" for end in ("shp", "shx", "dbf")], "content": parts})
-
-    return df.select(by, "pos", "points", "attributes").groupBy(by).applyInPandas(step, "name string, content binary")
+#: Lines of a piece of a shapefile; Parquet holds a hundred rows before it looks at their size.
+PIECE_LINES = 2048
+#: Pieces of a stored file: Spark reads 4096 rows at once, whatever their size.
+FILE_PIECES = 96
+
+
+def shapefiles(df: DataFrame, by: str, piece_lines: int = PIECE_LINES) -> DataFrame:
+    """(name, piece, content): a shapefile's three files per value of ``by``, from columns points (x, y),
+    attributes (a map of strings) and pos, their order. A file is its pieces in a row, each of
+    ``piece_lines`` lines but the last, so no task sees more of an image."""
+    lines = numbered(df.select(F.coalesce(F.col(by).cast("string"), F.lit("null")).alias("stem"), "pos", "points", "attributes"), "stem", "pos", name="_place").drop("pos")
+    first = lines.groupBy("stem").agg(F.min("_place").alias("_first"))
+    placed = lines.join(first, "stem").select("stem", (F.col("_place") - F.col("_first")).alias("rank"), "points", "attributes")
+    placed = placed.withColumn("piece", F.floor(F.col("rank") / piece_lines))
+    at = lambda end, c: getattr(F, f"array_{end}")(F.transform("points", lambda p: p[c]))
+    edges = [getattr(F, end)(at(end, c)).alias(f"{end}_{c}") for end in ("min", "max") for c in "xy"]
+    sizes = placed.groupBy("stem", "piece").agg(F.count(F.lit(1)).alias("n"), F.sum(56 + 16 * F.size("points")).alias("bytes"), F.min_by(F.map_keys("attributes"), "rank").alias("names"), *edges)
+    every = Window.partitionBy("stem")
+    before = F.coalesce(F.sum("bytes").over(every.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    box = [F.coalesce(getattr(F, e.split("_")[0])(e).over(every), F.lit(0.0)).alias(e) for e in ("min_x", "min_y", "max_x", "max_y")]
+    whole = sizes.select(F.col("stem").alias("of_stem"), F.col("piece").alias("of_piece"), before.alias("before"), F.sum("n").over(every).alias("lines"), F.sum("bytes").over(every).alias("bytes"), F.max("piece").over(every).alias("last"), F.min_by("names", "piece").over(every).alias("names"), *box)
+
+    def step(rows: pa.Table, own: pa.Table) -> pa.Table:
+        rows, of = rows.sort_by("rank").combine_chunks(), own.to_pylist()[0]
+        points, n = rows["points"].chunk(0), rows.num_rows
+        flat = points.flatten()
+        xy = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xy"], 1)
+        counts = pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        shp, shx = shapes.records(xy, counts, of["of_piece"] * piece_lines, 100 + of["before"])
+        values = [dict(a) for a in rows["attributes"].to_pylist()]
+        dbf = shapes.table_rows([[v[name] for v in values] for name in of["names"]], n)
+        if not of["of_piece"]:
+            span = [of[e] for e in ("min_x", "min_y", "max_x", "max_y")]
+            shp, shx = shapes.header(100 + of["bytes"], span) + shp, shapes.header(100 + 8 * of["lines"], span) + shx
+            dbf = shapes.table_head(of["names"], of["lines"]) + dbf
+        dbf += b"\x1a" * (of["of_piece"] == of["last"])
+        names = [f"{of['of_stem']}.{end}" for end in ("shp", "shx", "dbf")]
+        return pa.table({"name": names, "piece": pa.array([of["of_piece"]] * 3, pa.int64()), "content": pa.array([shp, shx, dbf], pa.binary())})
+
+    return placed.groupBy("stem", "piece").cogroup(whole.groupBy("of_stem", "of_piece")).applyInArrow(step, "name string, piece bigint, content binary")
 
 
 def archive(files: DataFrame, by: str) -> DataFrame:
