@@ -29,6 +29,8 @@ LIMIT = 512
 HOT = 1_000
 #: Texts that are missing from a warm cache are found through a broadcast up to this many digests.
 FEW = 1_000
+#: Bytes of texts that a worker divides at once; beside two workers and a JVM there is no room for more.
+SLICE_BYTES = 1_500_000
 CACHED = "digest binary, n_tokens bigint"
 
 
@@ -65,6 +67,7 @@ def encode_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
     one digest that follow each other the first is encoded."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        relax()  # of what earlier stages left
         encoder, last = Encoder.of(tokenizer, "bytes"), None
         for batch in batches:
             digests = batch.column("digest").to_pylist()
@@ -72,7 +75,7 @@ def encode_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
             last = digests[-1] if digests else last
             batch = batch.filter(pa.array(fresh, pa.bool_()))
             text = batch.column("text")
-            for start, stop in slices(text):
+            for start, stop in slices(text, SLICE_BYTES):
                 _, counts = encoder.ids(text.slice(start, stop - start))
                 yield pa.RecordBatch.from_pydict({"digest": batch.column("digest").slice(start, stop - start), "n_tokens": pa.array(counts, pa.int64())})
         relax()

@@ -20,7 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 120_000
+#: By kind: a byte chunk is a word with its case, blank and points, so most of the many are rare.
+CACHE_CHUNKS = {"words": 120_000, "bytes": 40_000}
+#: What the library encodes at once: its encodings hold about 200 bytes a token until they are read.
+CALL_CHUNKS, CALL_CHARS = 4096, 1 << 20
 LONG_CHUNK = 64
 SLICE_CHARS = 6_000_000
 #: Not regular for "bytes": blanks at an end, runs of blanks, and any other white space.
@@ -58,7 +61,13 @@ class Encoder:
         return _ENCODERS[path, kind]
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out, start, held = [], 0, 0
+        for stop, text in enumerate(texts, 1):
+            held += len(text)
+            if stop == len(texts) or held >= CALL_CHARS or stop - start >= CALL_CHUNKS:
+                out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[start:stop], add_special_tokens=False)]
+                start, held = stop, 0
+        return out
 
     def _real(self, chunk: str) -> str:
         """What a chunk stands for in the text."""
@@ -67,7 +76,7 @@ class Encoder:
         return chunk[1:] if chunk[:1] == _FIRST else " " + chunk
 
     def _turn(self) -> None:
-        if len(self.known) > CACHE_CHUNKS:  # what is still in use moves on from the older half
+        if len(self.known) > CACHE_CHUNKS[self.kind]:  # what is still in use moves on from the older half
             self.known, self.older = {}, self.known
 
     def _cached(self, chunks: list[str]) -> tuple[list[bytes | None], list[str]]:
