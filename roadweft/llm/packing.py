@@ -72,37 +72,58 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str =
     return docs.select(named(doc_id).cast("bigint").alias("doc_id"), named(text).cast("string").alias("text")).mapInArrow(pieces, PIECES)
 
 
+class _Filled(list):
+    """A sequence that knows its fill; never changed once its packing is made."""
+
+    __slots__ = ("fill",)
+
+
 class _Rooms:
     """Sequences by the room they have left; the tightest that fits is found by a bit trick."""
 
     def __init__(self, sequences: Packing, sizes: list[int], capacity: int) -> None:
         self.sequences, self.capacity = sequences, capacity
+        self.own: set[int] = set()
         self.at: dict[int, list[int]] = {}
         self.mask = 0
         for k, sequence in enumerate(sequences):
-            self._put(k, capacity - sum(sizes[i] for i in sequence))
+            self._put(k, capacity - _fill(sequence, sizes))
 
     def _put(self, k: int, room: int) -> None:
-        self.at.setdefault(room, []).append(k)
+        places = self.at.get(room)
+        if places:
+            places.append(k)
+            return
+        if places is None:
+            self.at[room] = [k]
+        else:
+            places.append(k)
         self.mask |= 1 << room
 
     def best_fit(self, item: int, size: int) -> None:
         fits = self.mask >> size
         if not fits:
-            self.sequences.append([item])
-            self._put(len(self.sequences) - 1, self.capacity - size)
-            return
-        room = size + (fits & -fits).bit_length() - 1
-        k = self.at[room].pop()
-        if not self.at[room]:
-            self.mask &= ~(1 << room)
-        self.sequences[k].append(item)
+            k, room, sequence = len(self.sequences), self.capacity, _Filled()
+            self.own.add(k)
+            self.sequences.append(sequence)
+        else:
+            room = size + (fits & -fits).bit_length() - 1
+            places = self.at[room]
+            k = places.pop()
+            if not places:
+                self.mask &= ~(1 << room)
+            sequence = self.sequences[k]
+            if k not in self.own:  # other packings share it
+                sequence = self.sequences[k] = _Filled(sequence)
+                self.own.add(k)
+        sequence.append(item)
+        sequence.fill = self.capacity - room + size
         self._put(k, room - size)
 
 
 def best_fit(items: list[int], sizes: list[int], capacity: int, sequences: Packing | None = None) -> Packing:
     """Add items to sequences in the order given, each to the tightest that has room."""
-    packed = [list(s) for s in sequences or []]
+    packed = list(sequences or [])
     rooms = _Rooms(packed, sizes, capacity)
     for i in items:
         rooms.best_fit(i, sizes[i])
@@ -110,7 +131,13 @@ def best_fit(items: list[int], sizes: list[int], capacity: int, sequences: Packi
 
 
 def _fill(sequence: list[int], sizes: list[int]) -> int:
-    return sum(map(sizes.__getitem__, sequence))
+    return sequence.fill if type(sequence) is _Filled else sum(map(sizes.__getitem__, sequence))
+
+
+def _filled(sequence: list[int], sizes: list[int]) -> _Filled:
+    out = _Filled(sequence)
+    out.fill = _fill(sequence, sizes)
+    return out
 
 
 def fitness(packing: Packing, sizes: list[int], capacity: int) -> tuple[int, float]:
@@ -161,7 +188,7 @@ def evolve(
     from ``since``."""
     rng = random.Random(seed)
     least = -(-sum(sizes) // capacity)
-    pool = list(start)
+    pool = [m._replace(packing=[_filled(s, sizes) for s in m.packing]) for m in start]
     while len(pool) < population and not start:
         pool.append(Member(best_fit(rng.sample(range(len(sizes)), len(sizes)), sizes, capacity), "start", 0))
     scored = sorted(((fitness(m.packing, sizes, capacity), -m.generation, m) for m in pool), key=lambda m: m[:2], reverse=True)
